@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_automaton import op4_bpe
+from .chat_format import OP10_SQL, op10_chat_format
+from .fingerprints import op3_fingerprints
+from .near_dedup import op5_near_dedup
 from .quality_rules import op1_quality_rules
+from .source_mixing import OP9_SQL, op9_source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_bpe": op4_bpe,
+    "op5_near_dedup": op5_near_dedup,
+    "op9_source_mixing": op9_source_mixing,
+    "op10_chat_format": op10_chat_format,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_source_mixing": OP9_SQL,
+    "op10_chat_format": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
