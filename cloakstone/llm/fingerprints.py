@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._cluster import columns_of, table
+from ._runs import LEAST, longs, place, run_of
 
 SIZE, BITS, FIRST_TRIES = 5, 8, 12
-LEAST = -(1 << 63)
 
 
 def with_signature(df: DataFrame, text: str, out: str, bins: int = 256) -> DataFrame:
@@ -85,30 +85,19 @@ def followed(docs: DataFrame, rows: int = 1000, most: int = 1 << 15) -> tuple[Da
     ids; then each run's first row is also sent, as a guest after all others,
     to the run before. Rows with ``guest`` = 1 only serve as followers.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("at"))
-    count = ids.count()
-    n = max(0, min(most, count // rows) - 1)
-    cuts = sorted(set(ids.agg(F.percentile_approx("at", [(i + 1) / (n + 1) for i in range(n)], 100 * (n + 1)).alias("q")).first()["q"] or [])) if n else []
-    size = 1 << len(cuts).bit_length()
-    bounds = _longs(cuts + [(1 << 63) - 1] * (size - len(cuts)))
-    steps = F.array(*[F.lit(size >> k) for k in range(1, size.bit_length())]) if size > 1 else F.array().cast("array<int>")
-    run = F.aggregate(steps, F.lit(0), lambda a, s: a + F.when(F.get(bounds, a + s - 1) <= F.col("at"), s).otherwise(0))
+    ids = docs.select(place().alias("at"))
+    run, size = run_of(ids, "at", rows, most)
     first = {r["run"]: r["least"] for r in ids.groupBy(run.alias("run")).agg(F.min("at").alias("least")).collect()}
     order = sorted(first)
     before = {r: order[i - 1] for i, r in enumerate(order)}
-    least_of = _longs([first.get(r, LEAST) for r in range(size)])
-    before_of = _longs([before.get(r, 0) for r in range(size)]).cast("array<int>")
-    dealt = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LEAST)).alias("at")).select("*", run.alias("run"))
+    least_of = longs([first.get(r, LEAST) for r in range(size)])
+    before_of = longs([before.get(r, 0) for r in range(size)]).cast("array<int>")
+    dealt = docs.select("doc_id", "text", place().alias("at")).select("*", run.alias("run"))
     own = F.struct("run", F.lit(0).alias("guest"))
     sent = F.when(F.col("at") == F.get(least_of, F.col("run")), F.array(own, F.struct(F.get(before_of, F.col("run")).alias("run"), F.lit(1).alias("guest")))).otherwise(F.array(own))
     return dealt.select("doc_id", "text", "at", F.explode(sent).alias("to")).select("doc_id", "text", "at", "to.run", "to.guest"), Window.partitionBy("run").orderBy("guest", "at", "text")
 
 
-def _longs(values: list[int]) -> Column:
-    """A constant array, as one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
-
-
 def fingerprints(docs: DataFrame, bins: int = 256) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text); see the contract of op3 for its columns."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
