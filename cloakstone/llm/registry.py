@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_automaton import op4_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprints import op3_fingerprints
+from .hidden_markov import op6_hidden_markov
 from .id_files import op7_id_files
 from .near_dedup import op5_near_dedup
 from .quality_rules import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_near_dedup": op5_near_dedup,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_id_files": op7_id_files,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
