@@ -14,6 +14,7 @@ from .id_files import op7_id_files
 from .near_dedup import op5_near_dedup
 from .quality_rules import op1_quality_rules
 from .source_mixing import OP9_SQL, op9_source_mixing
+from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_hidden_markov": op6_hidden_markov,
     "op7_id_files": op7_id_files,
+    "op8_url_filter": op8_url_filter,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
