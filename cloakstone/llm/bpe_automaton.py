@@ -184,22 +184,24 @@ def decode_ids(labels: list[bytes], ids: bytes) -> str:
     return b"".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (binary: little-endian unsigned 32-bit integers) for each row; a null or empty text has no ids (empty binary). Any length."""
+def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ids (binary: little-endian unsigned 32-bit integers) in place of the column ``text``; a null or empty text has no ids (empty binary). Any length."""
     shared = docs.sparkSession.sparkContext.broadcast(load_automaton(path))
+    keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield batch_of(**{key: part.column(0)}, ids=pa.array([encoder.encode(x or "") for x in part.column(1).to_pylist()], pa.binary()))
+                ids = pa.array([encoder.encode(x or "") for x in part.column(len(keep)).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, "ids"])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*keep).dtypes)
+    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, f"{kinds}, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of ``encoded`` with a further column text."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_automaton(path).labels)
 

@@ -10,6 +10,7 @@ from .bpe_automaton import op4_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprints import op3_fingerprints
 from .hidden_markov import op6_hidden_markov
+from .html_extraction import op2_html_extraction
 from .id_files import op7_id_files
 from .near_dedup import op5_near_dedup
 from .quality_rules import op1_quality_rules
@@ -18,6 +19,7 @@ from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
     "op3_fingerprints": op3_fingerprints,
     "op4_bpe": op4_bpe,
     "op5_near_dedup": op5_near_dedup,

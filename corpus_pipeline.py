@@ -1,4 +1,7 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids, stage by stage.
+
+Rows whose doc_id is null are one document where a stage decides by id.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakstone.llm._cluster import stored, table
+from cloakstone.llm.bpe_automaton import decode, encode, vocabulary_path
+from cloakstone.llm.near_dedup import near_duplicates
 from cloakstone.llm.quality_rules import judge
+from cloakstone.llm.source_mixing import mix
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``."""
+    return docs.select(COLUMNS).join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
-    kept = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents that pass the quality rules."""
+    return with_ids(docs, judge(docs).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more; one row of each document."""
+    kept = near_duplicates(docs, percent=80, bands=36, rows=5).filter("kept")
+    return with_ids(docs, kept).dropDuplicates(["doc_id"])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample that brings sources, languages and topics to their target shares."""
+    return with_ids(docs, mix(docs).filter("selected"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (binary: little-endian unsigned 32-bit integers), whether decoding gives the text back."""
+    path = vocabulary_path()
+    rows = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"), "text")
+    back = decode(encode(rows, path), path)
+    same = F.sha2(F.encode("text", "UTF-8"), 256) == F.col("sha256")
+    return back.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("source_mixing", mixing),
+    ("bpe", tokens),
 ]
+#: Neither the language model nor the tokenizer can be expressed in SQL.
 ORACLE_SQL: str | None = None
 
 
