@@ -34,7 +34,7 @@ def near(words: str, base: float):
     def check(text: Column, place: Column) -> Column:
         around = F.concat(slice_text(text, place["start"] - BEFORE, place["start"]), F.lit(" "), slice_text(text, place["end"], place["end"] + AFTER))
         hit = around.rlike(rf"(?iu){WORD_START}(?:{'|'.join(words.split())}){WORD_END}")
-        return F.least(F.lit(MOST), F.lit(base) + F.when(hit, GAIN).otherwise(0.0))
+        return F.when(hit, min(MOST, round(base + GAIN, 6))).otherwise(base)
 
     return check
 

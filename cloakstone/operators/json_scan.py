@@ -70,8 +70,7 @@ def leaves_of(rules: list[tuple[int, tuple]]):
     return leaves
 
 
-@F.pandas_udf("string")
-def rebuild(texts: pd.Series, changed: pd.Series, new: pd.Series) -> pd.Series:
+def rebuilt(texts: pd.Series, changed: pd.Series, new: pd.Series) -> pd.Series:
     """The payloads with their changed leaves (flags and texts, in walk order) replaced; nothing else is touched."""
 
     def put(node, todo):
@@ -84,16 +83,13 @@ def rebuild(texts: pd.Series, changed: pd.Series, new: pd.Series) -> pd.Series:
 
     out = []
     for text, flags, values in zip(texts, changed, new, strict=True):
-        if text is None:
-            out.append(None)
-            continue
-        payload, is_json = parse(text)
-        if not any(flags):
+        if text is None or not any(flags):
             out.append(text)
             continue
+        payload, is_json = parse(text)
         made = put(payload, iter(zip(flags, values, strict=True)))
         out.append(json.dumps(made, ensure_ascii=False) if is_json else made)
-    return pd.Series(out)
+    return pd.Series(out, dtype=object)
 
 
 def json_leaves(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -129,7 +125,7 @@ def scan_json(guard: Guard, df: DataFrame, column: str, tool: str = "json", dire
         return let(found, done)
 
     done = listed.withColumn("_done", F.transform("_leaves", one))
-    done = done.withColumn("_new", rebuild(F.col(column), F.transform("_done", lambda d: d["hit"]), F.transform("_done", lambda d: d["new"])))
+    done = done.withColumn("_new", F.pandas_udf(rebuilt, "string")(F.col(column), F.transform("_done", lambda d: d["hit"]), F.transform("_done", lambda d: d["new"])))
     events = F.coalesce(F.flatten(F.transform("_done", lambda d: d["e"])), F.array().cast(f"array<{EVENT}>"))
     found = done.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(F.struct(F.col("_new").alias("v"), events.alias("e")).alias("c0")).alias("_found"))
     out = guard._finish(found, df.columns, {column: F.col("_found")["c0"]}, direction)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import detect_queries, policy_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**policy_queries.QUERIES, **detect_queries.QUERIES}
+ORACLE_SQL = {**policy_queries.SQL, **detect_queries.SQL}

@@ -49,8 +49,12 @@ def confirm_batch(messages: DataFrame, window: int = WINDOW, most: int = MOST) -
     return folded.select("session_id", F.explode("out").alias("o")).select("session_id", "o.ordinal", "o.decision")
 
 
-def confirm_stream(messages: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
-    """The same on a stream, with the entries of a session as its state; sessions without messages for a day are forgotten."""
+def confirm_stream(messages: DataFrame, window: int = WINDOW, most: int = MOST, forget_hours: int = 24) -> DataFrame:
+    """The same on a stream, with the entries of a session as its state.
+
+    Sessions without messages for ``forget_hours`` are forgotten; 0 keeps them, which
+    a run over what is available needs, since a waiting time keeps such a run going.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,7 +68,8 @@ def confirm_stream(messages: DataFrame, window: int = WINDOW, most: int = MOST)
             decision, pending = decide(pending, what, float(ts), window, most)
             out.append((key[0], int(ordinal), decision))
         state.update((list(pending), list(pending.values())))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if forget_hours:
+            state.setTimeoutDuration(forget_hours * 3600 * 1000)
         yield pd.DataFrame(out, columns=["session_id", "ordinal", "decision"])
 
-    return messages.groupBy("session_id").applyInPandasWithState(run, "session_id string, ordinal long, decision string", "digests array<string>, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session_id").applyInPandasWithState(run, "session_id string, ordinal long, decision string", "digests array<string>, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_hours else GroupStateTimeout.NoTimeout)
