@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cloakstone.plans.guard import EVENT, Guard, let
 from cloakstone.plans.paths import path_fits, render_path
@@ -47,31 +49,35 @@ def parse(text: str):
     return text, False
 
 
-def leaves_of(rules: list[tuple[int, tuple]]):
-    """A function from JSON texts to their leaves; rules: (number, path steps), the first that fits counts."""
+def with_column(df: DataFrame, name: str, kind: str, make) -> DataFrame:
+    """``df`` with a further column, made batch by batch: make(record batch as lists by name) -> list."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    arrow = to_arrow_type(schema[name].dataType)
 
-    @F.pandas_udf(f"array<{LEAF}>")
-    def leaves(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            if text is None:
-                out.append([])
-                continue
-            rows = []
-            for path, value in walk(parse(text)[0]):
-                is_text, plain = isinstance(value, str), not isinstance(value, bool)
-                scannable = plain and isinstance(value, str | int | float)
-                key = next((s for s in reversed(path) if isinstance(s, str)), None)
-                rule = next((k for k, steps in rules if path_fits(steps, path)), -1)
-                rows.append({"path": render_path(path), "key": key, "text": value if is_text else str(value), "scannable": scannable, "is_text": is_text, "rule": rule})
-            out.append(rows)
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(make(batch), arrow)], names=[*batch.schema.names, name])
 
-    return leaves
+    return df.mapInArrow(run, schema)
 
 
-def rebuilt(texts: pd.Series, changed: pd.Series, new: pd.Series) -> pd.Series:
-    """The payloads with their changed leaves (flags and texts, in walk order) replaced; nothing else is touched."""
+def with_leaves(df: DataFrame, column: str, rules: list[tuple[int, tuple]]) -> DataFrame:
+    """``df`` with the leaves of its JSON column in ``_leaves``; rules: (number, path steps), the first that fits counts."""
+
+    def listed(text: str | None) -> list[dict]:
+        rows = []
+        for path, value in walk(parse(text)[0]) if text is not None else ():
+            is_text, plain = isinstance(value, str), not isinstance(value, bool)
+            key = next((s for s in reversed(path) if isinstance(s, str)), None)
+            rule = next((k for k, steps in rules if path_fits(steps, path)), -1)
+            rows.append({"path": render_path(path), "key": key, "text": value if is_text else str(value), "scannable": plain and isinstance(value, str | int | float), "is_text": is_text, "rule": rule})
+        return rows
+
+    return with_column(df, "_leaves", f"array<{LEAF}>", lambda batch: [listed(x) for x in batch.column(column).to_pylist()])
+
+
+def rebuilt(texts: list, done: list) -> list:
+    """The payloads with their changed leaves (in walk order) replaced; nothing else is touched."""
 
     def put(node, todo):
         if isinstance(node, dict):
@@ -82,19 +88,19 @@ def rebuilt(texts: pd.Series, changed: pd.Series, new: pd.Series) -> pd.Series:
         return value if flag else node
 
     out = []
-    for text, flags, values in zip(texts, changed, new, strict=True):
-        if text is None or not any(flags):
+    for text, leaves in zip(texts, done, strict=True):
+        if text is None or not any(x["hit"] for x in leaves):
             out.append(text)
             continue
         payload, is_json = parse(text)
-        made = put(payload, iter(zip(flags, values, strict=True)))
+        made = put(payload, iter([(x["hit"], x["new"]) for x in leaves]))
         out.append(json.dumps(made, ensure_ascii=False) if is_json else made)
-    return pd.Series(out, dtype=object)
+    return out
 
 
 def json_leaves(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """One row a leaf: keep, ordinal, path, key, text, is_text."""
-    found = df.select(*keep, F.posexplode(leaves_of([])(F.col(column))).alias("ordinal", "leaf"))
+    found = with_leaves(df.select(*keep, column), column, []).select(*keep, F.posexplode("_leaves").alias("ordinal", "leaf"))
     return found.select(*keep, "ordinal", "leaf.path", "leaf.key", "leaf.text", "leaf.is_text")
 
 
@@ -105,7 +111,7 @@ def scan_json(guard: Guard, df: DataFrame, column: str, tool: str = "json", dire
     """
     rules = guard.policy.path_rules(tool)
     pins = [guard._findings(F.array(span(F.lit(0), F.lit(0), "STRUCTURAL", F.lit(1.0), 0, "policy_match")), r.action, r) for r in rules]
-    listed = df.withColumn("_leaves", leaves_of([(k, r.match.steps) for k, r in enumerate(rules)])(F.col(column)))
+    listed = with_leaves(df, column, [(k, r.match.steps) for k, r in enumerate(rules)])
     token = guard._token()
 
     def one(leaf: Column) -> Column:
@@ -125,9 +131,9 @@ def scan_json(guard: Guard, df: DataFrame, column: str, tool: str = "json", dire
         return let(found, done)
 
     done = listed.withColumn("_done", F.transform("_leaves", one))
-    done = done.withColumn("_new", F.pandas_udf(rebuilt, "string")(F.col(column), F.transform("_done", lambda d: d["hit"]), F.transform("_done", lambda d: d["new"])))
     events = F.coalesce(F.flatten(F.transform("_done", lambda d: d["e"])), F.array().cast(f"array<{EVENT}>"))
-    found = done.select(*[F.col(f"`{c}`") for c in df.columns], F.struct(F.struct(F.col("_new").alias("v"), events.alias("e")).alias("c0")).alias("_found"))
-    out = guard._finish(found, df.columns, {column: F.col("_found")["c0"]}, direction)
+    found = done.select(*[F.col(f"`{c}`") for c in df.columns], "_done", F.struct(F.struct(F.col(f"`{column}`").alias("v"), events.alias("e")).alias("c0")).alias("_found"))
+    out = guard._finish(found, [*df.columns, "_done"], {column: F.col("_found")["c0"]}, direction)
+    out = with_column(out, "_new", "string", lambda batch: rebuilt(batch.column(column).to_pylist(), batch.column("_done").to_pylist()))
     error = F.to_json(F.struct(F.lit("blocked by policy").alias("error"), F.lit(guard.policy.name).alias("policy"), F.col("guard.rule_id").alias("rule"), F.col("guard.block_reason").alias("message")))
-    return out.withColumn(column, F.when(F.col("guard.blocked"), error).otherwise(F.col(column)))
+    return out.withColumn(column, F.when(F.col("guard.blocked"), error).otherwise(F.col("_new"))).drop("_done", "_new")
