@@ -32,6 +32,11 @@ def label(entity: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(entity), "[^A-Z_]+", "_"), "^_+|_+$", "")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` kept in the cluster's checkpoint folder, so that later reads see the same parts; as it is where no folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 class Vault:
     def __init__(self, spark: SparkSession, path: str, key: bytes, scope: str = "default") -> None:
         self.spark, self.path, self.scope = spark, path, scope
@@ -56,8 +61,17 @@ class Vault:
             .join(self.own().select("entity_type", "value_hmac"), ["entity_type", "value_hmac"], "left_anti")
         )
         top = self.own().groupBy("entity_type").agg(F.max("token_id").alias("top"))
-        turn = F.row_number().over(Window.partitionBy("entity_type").orderBy("ordinal", "value"))
-        return new.withColumn("turn", turn).join(F.broadcast(top), "entity_type", "left").select("entity_type", "value", "value_hmac", (F.coalesce("top", F.lit(0)) + F.col("turn")).cast("long").alias("token_id"))
+        # numbers without one task a label: rows are dealt by range, counted in each part, and each part starts
+        # after what the parts before it hold; the counts are a row for each label and part
+        parts = self.spark.sparkContext.defaultParallelism * 4
+        dealt = new.repartitionByRange(parts, "entity_type", "ordinal", "value").withColumn("part", F.spark_partition_id())
+        dealt = _kept(dealt)
+        sizes = dealt.groupBy("entity_type", "part").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("entity_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.withColumn("before", before).drop("n")
+        turn = F.row_number().over(Window.partitionBy("entity_type", "part").orderBy("ordinal", "value"))
+        numbered = dealt.withColumn("turn", turn).join(starts, ["entity_type", "part"]).join(F.broadcast(top), "entity_type", "left")
+        return numbered.select("entity_type", "value", "value_hmac", (F.coalesce("top", F.lit(0)) + F.col("before") + F.col("turn")).cast("long").alias("token_id"))
 
     def mint(self, values: DataFrame) -> None:
         """Gives tokens to values that have none. One mint at a time: run it on the driver, or in foreachBatch."""
