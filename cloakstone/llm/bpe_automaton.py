@@ -5,11 +5,13 @@ one state with an arc for every byte and takes the merges one after the other.
 The gadget for the merge of u and v: where u's arcs lead to a state p that has
 an arc v, they are led to a new state p' instead, a copy of p without the arc
 v; and every state with an arc u gets an arc uv that leads where v's arcs lead.
-So all arcs with one label lead to one state, ``target[label]``, and a state is
-known by its parent (the state it was copied from), the arc it lost, and when
-it was made. ``accepts(state, label)`` follows these records in place of a
-table of states by labels, which would have 2.5 billion cells; the answers
-that encoding asks for are kept in a table.
+So all arcs with one label lead to one state, which is named by the label. A
+copy differs from its original by one lost arc: a state is known by what its
+line of copies lost and when. ``lost`` holds these losses by (label, lost arc);
+a label uv starts from the state of v as it was when the merge was made, so its
+line goes on with the losses of v before that. ``accepts`` reads these records
+in place of a table of states by labels, which would have 2.5 billion cells;
+the answers that encoding asks for are kept in a table.
 
 Encoding a word walks the automaton by the longest label first. A position
 that can't be passed is never tried again: each prefix has one accepted
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -50,30 +53,36 @@ def byte_letters() -> dict[str, int]:
 class Automaton(NamedTuple):
     labels: list[bytes]
     """By token id."""
-    ids: dict[bytes, int]
     left: list[int]
-    """A token's first part."""
+    right: list[int]
+    """A token's two parts; -1 for bytes."""
     born: list[int]
     """The merge that made a token; -1 for bytes, NEVER for tokens that no text gives."""
-    target: list[int]
-    parent: list[int]
-    lost: list[int]
-    made: list[int]
+    lost: dict[int, int]
+    """When the state of a label lost an arc, by label << 20 | arc."""
     special: dict[str, int]
     """Strings that become one id wherever they stand."""
-    longest: int
+    tree: dict
+    """The labels by their bytes: each node has its followers by byte, and its label's id at -1."""
 
     def accepts(self, state: int, label: int) -> bool:
-        parent, lost, made, left, born = self.parent, self.lost, self.made, self.left, self.born
+        """Whether the state after a label (-1: the start) has an arc ``label``."""
+        left, right, born, lost = self.left, self.right, self.born, self.lost
         if born[label] == NEVER:
             return False
-        while state:
-            if born[label] >= made[state]:
-                label = left[label]
-            elif lost[state] == label:
-                return False
-            else:
-                state = parent[state]
+        until = NEVER  # the arc uv was made where an arc u was, so losses of u up to then count
+        while state >= 0:
+            line, before = state, NEVER
+            while line >= 0:
+                when = lost.get(line << 20 | label)
+                if when is not None and when < before and when <= until:
+                    return False
+                before = min(before, born[line])
+                line = right[line]
+            if left[label] < 0:
+                break
+            until = born[label]
+            label = left[label]
         return True
 
 
@@ -84,22 +93,22 @@ def compile_automaton(vocabulary: dict[bytes, int], merges: list[tuple[bytes, by
         labels[i] = label
     for text, i in (special or {}).items():
         labels[i] = text.encode()
-    born, left, target = [NEVER] * size, [-1] * size, [0] * size
+    a = Automaton(labels, [-1] * size, [-1] * size, [NEVER] * size, {}, special or {}, {})
     for b in range(256):
         if (i := vocabulary.get(bytes([b]))) is not None:
-            born[i] = -1
-    a = Automaton(labels, dict(vocabulary), left, born, target, [-1], [-1], [-1], special or {}, max(map(len, vocabulary), default=1))
+            a.born[i] = -1
     for when, (u, v) in enumerate(merges):
         first, second, whole = vocabulary[u], vocabulary[v], vocabulary[u + v]
-        p = target[first]
-        if born[first] == NEVER or born[whole] != NEVER or not a.accepts(p, second):
+        if a.born[first] == NEVER or a.born[whole] != NEVER or not a.accepts(first, second):
             continue
-        target[whole] = target[second]
-        left[whole], born[whole] = first, when
-        a.parent.append(p)
-        a.lost.append(second)
-        a.made.append(when)
-        target[first] = len(a.parent) - 1
+        a.left[whole], a.right[whole], a.born[whole] = first, second, when
+        a.lost[first << 20 | second] = when
+    for label, i in vocabulary.items():
+        if a.born[i] != NEVER:
+            node = a.tree
+            for b in label:
+                node = node.setdefault(b, {})
+            node[-1] = i
     return a
 
 
@@ -118,54 +127,72 @@ def load_automaton(path: str) -> Automaton:
 
 
 class Encoder(dict):
-    """Ids (little-endian unsigned 32 bits) of units of text; those met are kept, up to ``room`` of them and of answers about arcs."""
+    """Ids (little-endian unsigned 32 bits) of units of text; those met are kept, up to ``room`` of them, of pieces, and of answers about arcs."""
 
     def __init__(self, automaton: Automaton, room: int = 250_000) -> None:
         super().__init__()
-        self.automaton, self.room, self.arcs = automaton, room, {}
+        self.automaton, self.room, self.arcs, self.pieces = automaton, room, {}, {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
 
     def word(self, word: bytes) -> list[int]:
         """The accepted sequence whose labels spell a pre-split word."""
-        a, arcs = self.automaton, self.arcs
-        ids, target, n = a.ids, a.target, len(word)
-        whole = ids.get(word)
-        if whole is not None and a.accepts(0, whole):
-            return [whole]
+        a, arcs, n = self.automaton, self.arcs, len(word)
         path: list[int] = []
-        at, size, dead = 0, min(n, a.longest), bytearray(n + 1)
+        waiting: list[list[int]] = []  # at each step of the path, the labels that fit there and weren't tried, shorter first
+        at, dead = 0, bytearray(n + 1)
+        fitting = self.fitting(word, 0)
         while at < n:
-            state = target[path[-1]] if path else 0
-            while size:
-                token = None if dead[at + size] else ids.get(word[at : at + size])
-                if token is not None:
-                    key = state << 20 | token
-                    if (good := arcs.get(key)) is None:
-                        good = arcs[key] = a.accepts(state, token)
-                    if good:
-                        break
-                size -= 1
-            if size:
-                path.append(token)
-                at += size
-                size = min(n - at, a.longest)
+            state = path[-1] if path else -1
+            while fitting:
+                token = fitting.pop()
+                if dead[at + len(a.labels[token])]:
+                    continue
+                if state < 0:
+                    break
+                key = state << 20 | token
+                if (good := arcs.get(key)) is None:
+                    good = arcs[key] = a.accepts(state, token)
+                if good:
+                    break
             else:
                 if not path:
                     raise ValueError("a byte has no token")
                 dead[at] = 1
-                size = len(a.labels[path.pop()])
-                at -= size
-                size -= 1
+                at -= len(a.labels[path.pop()])
+                fitting = waiting.pop()
+                continue
+            path.append(token)
+            waiting.append(fitting)
+            at += len(a.labels[token])
+            fitting = self.fitting(word, at)
         return path
 
+    def fitting(self, word: bytes, at: int) -> list[int]:
+        """The labels that the word goes on with, shorter first."""
+        node, out = self.automaton.tree, []
+        for k in range(at, len(word)):
+            node = node.get(word[k])
+            if node is None:
+                break
+            if (i := node.get(-1)) is not None:
+                out.append(i)
+        return out
+
     def __missing__(self, unit: str) -> bytes:
-        found = [i for piece in PIECES.findall(unit) for i in self.word(piece.encode("utf-8"))]
-        self[unit] = out = np.array(found, "<u4").tobytes()
+        pieces, out = self.pieces, b""
+        for piece in PIECES.findall(unit):
+            if (ids := pieces.get(piece)) is None:
+                found = self.word(piece.encode("utf-8"))
+                ids = pieces[piece] = struct.pack(f"<{len(found)}I", *found)
+            out += ids
+        self[unit] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if len(self) > self.room:
             self.clear()
+        if len(self.pieces) > self.room:
+            self.pieces.clear()
         if len(self.arcs) > 4 * self.room:
             self.arcs.clear()
         if self.cut is None or "<" not in text and not self.cut.search(text):
