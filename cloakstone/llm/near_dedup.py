@@ -7,12 +7,14 @@
    combines before it shuffles. Only representatives go on.
 3. Banding: representatives that share a band's bucket are candidates. Rather
    than all pairs of a bucket, each member is paired with the bucket's first
-   member, and verified on the full sets; links are unioned. Then, for a few
+   member, and verified on the full sets; links are unioned. Then, for ``rounds``
    rounds, members that aren't in the component of the bucket's main part are
    paired with another member of that part. What still isn't linked then is
    paired with every other member of its buckets that lies in another
-   component, but for the pairs that were verified before. So every pair of a
-   bucket is either verified, or joined by verified links.
+   component, in buckets of at most ``direct`` members; in larger ones by prefix
+   filtering, which is exact: two sets that are similar enough share one of
+   their rarest few elements, so only members that do are paired. So every pair
+   of a bucket is verified, joined by verified links, or known to be too far.
 4. Union-find by large-star and small-star steps on tables, to the smallest id.
 
 A true link is missed only if no band agrees: with 30 bands of 6 rows and a
@@ -170,36 +172,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for each id in ``links`` (a, b), by alternating large-star and small-star steps."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    edges = stored(edges, "edges")
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = None
     while True:
         both = edges.union(edges.select("v", "u"))
         # large star: each node's larger neighbours go to the least of it and its neighbours
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # small star: each node's smaller neighbours, and itself, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        new = stored(small, "edges")
-        # done when nothing moved: all edges go to a node that has none itself
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        edges = stored(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        # the same edges as before: each goes to a node that has no smaller neighbour
+        before, mark = mark, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        if mark == before:
             break
-        edges = new
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def link_buckets(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+def rare_elements(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, n, component, apart, place, element for the elements of each set by which a similar enough set must meet it.
+
+    Of a set of n, these are the n - ceil(n * percent / 100) + 1 that fewest sets of ``live`` hold; place: how many of its
+    elements come before, by number of sets, then by value.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                held = [np.frombuffer(x, np.int64) for x in part.column("elements").to_pylist()]
+                at = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "n", "component", "apart")), pa.array(np.concatenate(held))], names=["id", "n", "component", "apart", "element"])
+
+    given = live.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "n", "component", "apart", "elements")
+    elements = stored(given.mapInArrow(spread, "id long, n long, component long, apart boolean, element long"), "elements")
+    held = elements.groupBy("element").agg(F.count("*").alias("sets"))
+    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return elements.join(held, "element").groupBy("id", "n", "component", "apart").agg(F.collect_list(F.struct("sets", "element")).alias("all")).select("id", "n", "component", "apart", F.posexplode(F.slice(F.sort_array("all"), F.lit(1), most)).alias("place", "e")).select("id", "n", "component", "apart", "place", "e.element")
+
+
+def link_buckets(members: DataFrame, sets: DataFrame, percent: int, rounds: int, direct: int = 64) -> DataFrame:
     """id, component for the ids of ``members`` (bucket, id, n) that have verified links."""
     close = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("id") != F.col("other"))
     ordered = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
     first = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("f")).select("bucket", F.col("f.id").alias("other"), F.col("f.n").alias("m"))
     tried = stored(members.join(first, "bucket").filter(close).select(*ordered).distinct(), "tried")
-    links = stored(verified(tried, sets, percent), "links")
+    found = stored(components(verified(tried, sets, percent)), "components")
     for turn in range(rounds + 1):
-        found = stored(components(links), "components")
         labelled = members.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
         parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
+        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main", "size")
         live = stored(labelled.join(main, "bucket"), "live")
         apart = live.filter("component <> main")
         if turn < rounds:
@@ -207,21 +229,27 @@ def link_buckets(members: DataFrame, sets: DataFrame, percent: int, rounds: int)
             one = live.filter("component = main").groupBy("bucket").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "bucket", F.lit(turn))).alias("f"))
             pairs = apart.join(one, "bucket").select("id", "n", F.col("f.id").alias("other"), F.col("f.n").alias("m"))
         else:
-            others = live.select("bucket", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
+            others = live.filter(F.col("size") <= direct).select("bucket", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
             pairs = apart.join(others, "bucket").filter("component <> theirs").select("id", "n", "other", "m")
+            large = live.filter(F.col("size") > direct).groupBy("id", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart"))
+            rare = stored(rare_elements(large, sets, percent), "rare")
+            mates = rare.select(F.col("element").alias("shared"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"), F.col("place").alias("there"))
+            # by the first element that two sets share, what follows in both bounds what else they can share
+            enough = (100 + percent) * (1 + F.least(F.col("n") - 1 - F.col("place"), F.col("m") - 1 - F.col("there"))) >= percent * (F.col("n") + F.col("m"))
+            met = rare.filter("apart").join(mates, (F.col("element") == F.col("shared")) & (F.col("component") != F.col("theirs")) & enough & close).select("id", "n", "other", "m")
+            pairs = pairs.union(met)
         new = stored(pairs.filter(close).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             if turn < rounds and not apart.isEmpty():
                 continue
             return found
-        more = stored(verified(new, sets, percent), "links")
-        tried, links = tried.union(new), links.union(more)
-        if turn == rounds and not more.isEmpty():
-            found = stored(components(links), "components")
+        # what is known of the components stands for the links so far
+        links = verified(new, sets, percent).union(found.select("id", "component"))
+        tried, found = tried.union(new), stored(components(links), "components")
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 30, rows: int = 6, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 30, rows: int = 6, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
     facts = stored(sketch(docs, bands, rows), "sketches")
