@@ -26,7 +26,8 @@ documents; an empty table gives no files.
 
 from __future__ import annotations
 
-import os
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from ._cluster import columns_of, new_path, stored, table
 from ._runs import place, run_of
 from ._words import batch_of
-from .bpe_automaton import UNITS, vocabulary_path
+from .bpe_automaton import PIECES, UNITS, byte_letters, vocabulary_path
 
 BLOCK, MAGIC, END = 128, b"PFR1", 0
 HEAD = np.dtype([("minimum", "<u4"), ("width", "u1"), ("exceptions", "u1")])
@@ -136,34 +137,43 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(dict):
-    """Ids of texts by the tokenizers library. Texts are cut where its pre-splitting always cuts, so that each distinct unit is encoded once; up to ``room`` units are kept."""
+    """Ids of texts by the tokenizers library. Texts are cut where its pre-splitting always cuts, so that its model meets each distinct piece once; up to ``room`` units and pieces are kept."""
 
     def __init__(self, file: str, room: int = 250_000) -> None:
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.room = Tokenizer.from_str(file), room
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        library = Tokenizer.from_str(file)
+        self.tokenize, self.room, self.pieces = library.model.tokenize, room, {}
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in library.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+
+    def __missing__(self, unit: str) -> bytes:
+        body, pieces, out = unit.removeprefix(" "), self.pieces, b""
+        if body.isalpha():
+            parts = [unit]
+        elif body[-1:] in ".,;:!?" and body[:-1].isalpha():
+            parts = [unit[:-1], unit[-1]]
+        else:
+            parts = PIECES.findall(unit)
+        for part in parts:
+            if (ids := pieces.get(part)) is None:
+                found = [t.id for t in self.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))]
+                ids = pieces[part] = struct.pack(f"<{len(found)}I", *found)
+            out += ids
+        self[unit] = out
+        return out
 
     def encode(self, text: str) -> bytes:
         if len(self) > self.room:
             self.clear()
-        units: list[str] = []
-        for part in self.cut.split(text) if self.cut and self.cut.search(text) else [text]:
-            units += [part] if self.cut and self.cut.fullmatch(part) else UNITS.findall(part)
-        try:
-            return b"".join(map(self.__getitem__, units))
-        except KeyError:
-            new = list(set(units).difference(self))
-            for unit, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[unit] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, units))
+        if len(self.pieces) > self.room:
+            self.pieces.clear()
+        if self.cut is None or not self.cut.search(text):
+            return b"".join(map(self.__getitem__, UNITS.findall(text)))
+        parts = self.cut.split(text)
+        return b"".join(self.special[part] if k % 2 else b"".join(map(self.__getitem__, UNITS.findall(part))) for k, part in enumerate(parts))
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
