@@ -77,8 +77,8 @@ def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
             continue
         at = np.flatnonzero(width == w)
         for part in np.array_split(at, -(-len(at) // 2048)):
-            values = rest[part] & np.uint32((1 << int(w)) - 1)
-            flags = (values[:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+            whole = np.ascontiguousarray(rest[part].astype("<u2" if w <= 16 else "<u4"))
+            flags = np.unpackbits(whole.view(np.uint8).reshape(len(part), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
             out[start[part][:, None] + HEAD.itemsize + np.arange(BLOCK // 8 * w)] = np.packbits(flags.reshape(len(part), -1), axis=1, bitorder="little")
     block, position = np.nonzero(over)
     rank = np.arange(len(block)) - (np.cumsum(count) - count)[block]
@@ -139,7 +139,7 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 class LibraryEncoder(dict):
     """Ids of texts by the tokenizers library. Texts are cut where its pre-splitting always cuts, so that its model meets each distinct piece once; up to ``room`` units and pieces are kept."""
 
-    def __init__(self, file: str, room: int = 250_000) -> None:
+    def __init__(self, file: str, room: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
