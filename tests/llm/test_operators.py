@@ -59,6 +59,17 @@ def test_quality_rejects_what_is_unusual(spark):
     assert sum(r["kept"] for r in good) >= 0.97 * len(good)
 
 
+def test_quality_keeps_rare_languages(spark):
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    many, few = [word("abcdefg") for _ in range(300)], [word("stuvwxyz") for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(many, k=80)), "en", "s") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choices(few, k=80)), "es", "s") for i in range(20)] + [(2000, " ".join(rng.choices(few, k=80)), None, "s")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows), vocabulary=2000).collect()}
+    assert sum(got[i]["kept"] for i in range(400)) >= 390
+    assert all(r["kept"] for i, r in got.items() if i >= 1000)
+
+
 def test_kneser_ney_sums_to_one(spark):
     from cloakstone.llm.ngram_model import kneser_ney
 
