@@ -7,9 +7,10 @@ their last two bytes; within its class a word has probability
 (c + 0.5) / (the class's sum of c + 0.5, plus 0.5), c its training count.
 
 Training: a few rounds on at most ``warm_docs`` texts (the least hashes of
-their ids; the first ``warm_tokens`` tokens of each) give the starting point;
-then ``rounds`` rounds of Baum-Welch over all training texts, whose expected
-counts are added up in each partition and then across partitions by symbol. A
+their ids; the first ``warm_tokens`` tokens of each) choose the starting point
+only; then rounds of Baum-Welch go over all training texts, whose expected
+counts are added up in each partition and then across partitions by symbol,
+until a round raises the log likelihood by less than ``tolerance`` of itself. A
 training sequence is at most ``span`` tokens long; longer texts give several.
 Scoring is the scaled forward recursion over the whole text, exactly.
 
@@ -237,7 +238,7 @@ def expected_counts(model: Model, r: Ragged) -> tuple[np.ndarray, np.ndarray, np
         alpha[lo:hi] *= beta  # the posterior of step t; step t - 1 no longer needs alpha here
     emissions = np.stack([np.bincount(r.symbol, alpha[:, s], minlength=symbols) for s in range(k)], 1)
     starts = alpha[: r.at[1]].sum(0) if total else np.zeros(k)
-    return starts, moves, emissions, float(np.log10(scale).sum())
+    return starts, moves, emissions, float(np.log10(scale).sum(dtype=np.float64))
 
 
 def updated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, share: np.ndarray, weight: float) -> Model:
@@ -256,7 +257,8 @@ def sequences_of(raw: list[bytes], span: int) -> list[np.ndarray]:
     return out
 
 
-def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int, warm_docs: int, warm_tokens: int, warm_rounds: int, span: int, seed: int = 11) -> Model:
+def train(encoded: DataFrame, v: Vocabulary, states: int, tolerance: float, warm_docs: int, warm_tokens: int, warm_rounds: int, span: int, seed: int = 11) -> Model:
+    """Baum-Welch over all training texts, until a round raises their log likelihood by less than ``tolerance`` of itself."""
     rng = np.random.default_rng(seed)
     share = np.full(v.size, 1e-6)
     i, _ = look_up(v.common, v.symbols)
@@ -272,7 +274,8 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int, warm_docs
     columns = [f"s{k}" for k in range(states)]
     kinds = ", ".join(f"{c} double" for c in columns)
     context = encoded.sparkSession.sparkContext
-    for _ in range(rounds):
+    last = -np.inf
+    while True:
         shared = context.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -280,7 +283,7 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int, warm_docs
 
             def add(held: list[bytes]) -> None:
                 nonlocal sums
-                got = expected_counts(model, by_step(sequences_of(held, span)))[:3]
+                got = expected_counts(model, by_step(sequences_of(held, span)))
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
 
             held, size = [], 0
@@ -294,34 +297,35 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, rounds: int, warm_docs
             if held:
                 add(held)
             if sums is not None:
-                starts, moves, emissions = sums
+                starts, moves, emissions, likelihood = sums
                 some = np.flatnonzero(emissions.sum(1))
-                row = np.concatenate([some, np.arange(-1, -2 - len(moves), -1)])
-                values = np.concatenate([emissions[some], starts[None, :], moves])
+                row = np.concatenate([some, np.arange(-1, -3 - len(moves), -1)])
+                values = np.concatenate([emissions[some], starts[None, :], moves, np.full((1, len(starts)), likelihood)])
                 yield batch_of(row=row.astype(np.int64), **{c: values[:, k] for k, c in enumerate(columns)})
 
         found = encoded.filter("NOT held_out").select("symbols").mapInArrow(count, f"row long, {kinds}").groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("row")
+        shared.unpersist()
         if not len(found):
-            break
+            return model
         row, values = found["row"].to_numpy(), found[columns].to_numpy()
-        emissions, moves, starts = np.zeros((v.size, states)), np.zeros((states, states)), np.zeros(states)
+        emissions, moves = np.zeros((v.size, states)), np.zeros((states, states))
         emissions[row[row >= 0]] = values[row >= 0]
-        for r, x in zip(row[row < 0], values[row < 0], strict=True):
-            if r == -1:
-                starts = x
-            else:
-                moves[-2 - r] = x
-        model = updated(starts, moves, emissions, share, 10.0)
-    return model
+        by_row = dict(zip(row[row < 0].tolist(), values[row < 0], strict=True))
+        for k in range(states):
+            moves[k] = by_row[-2 - k]
+        likelihood = float(by_row[-2 - states][0])
+        if not likelihood - last > tolerance * abs(likelihood):
+            return model
+        last, model = likelihood, updated(by_row[-1], moves, emissions, share, 10.0)
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int = 2, classes: int = 512, common: int = 1 << 19, symbols: int = 1 << 14, warm_docs: int = 600, warm_tokens: int = 400, warm_rounds: int = 25, span: int = 4096) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, tolerance: float = 1e-4, classes: int = 512, common: int = 1 << 19, symbols: int = 1 << 14, warm_docs: int = 600, warm_tokens: int = 400, warm_rounds: int = 25, span: int = 4096) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text); see the contract of op6 for its columns."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
     counted = stored(count_tokens(docs, classes), "tokens")
     v = vocabulary(counted, classes, common, symbols)
     encoded = stored(encode(docs, v).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    model = train(encoded.select("doc_id", "held_out", "n_tokens", "symbols"), v, states, rounds, warm_docs, warm_tokens, warm_rounds, span)
+    model = train(encoded.select("doc_id", "held_out", "n_tokens", "symbols"), v, states, tolerance, warm_docs, warm_tokens, warm_rounds, span)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

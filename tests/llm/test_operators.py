@@ -160,6 +160,24 @@ def test_hidden_markov(spark):
     assert hidden_markov.score(docs(spark, [])).collect() == []
 
 
+def test_hidden_markov_trains_until_it_stops_rising(spark, monkeypatch):
+    rng = random.Random(8)
+    # after the first 5 tokens the texts go on in another way
+    rows = [(i, " ".join([rng.choice("pq") for _ in range(5)] + [w for _ in range(20) for w in rng.choice([("a", "b", "c"), ("d", "e", "f")])]), "en", "s") for i in range(60)]
+    models, update = [], hidden_markov.updated
+    monkeypatch.setattr(hidden_markov, "updated", lambda *a: models.append(update(*a)) or models[-1])
+
+    def trained(**more):
+        models.clear()
+        got = hidden_markov.score(docs(spark, rows), states=4, classes=64, warm_docs=5, warm_tokens=5, **more).collect()
+        # the start and the 25 rounds that choose it come first
+        return len(models) - 26, sum(r["score"] for r in got if not r["held_out"])
+
+    rounds, score = trained()
+    assert rounds > 2
+    assert trained(tolerance=1.0)[1] < score
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(3)
     model = hidden_markov.Model(*(lambda a, b, c: (a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(1, keepdims=True)))(rng.random(3), rng.random((3, 3)), rng.random((3, 5))))
