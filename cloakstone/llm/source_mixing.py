@@ -9,9 +9,14 @@ that table, and what comes back is one number for each (language, topic) pair.
 Both sets are closed (topics are a fixed rule, languages are codes); more than
 ``most_pairs`` pairs raise an error rather than being cut.
 
-Documents are then sampled without repeats: a document's probability is its
-cell's weight over the largest weight, so no probability exceeds 1 and the
-expected shares are the targets.
+Documents are then sampled without repeats. Without a token budget, a document's
+probability is its cell's weight over the largest weight, so no probability
+exceeds 1 and the expected shares are the targets, but the smallest cell sets
+the size of the sample. With a budget (a share of all tokens), probabilities
+are capped at 1 within the fitting: what a source, language or topic doesn't
+have is dealt to the others in proportion to their targets, so the sample has
+the expected size whatever the smallest cell. Where cells can't meet all three
+marginals at once, sources are met and the others as near as the sweeps come.
 
 Defined cases: null source, language or topic is a value of its own; null
 texts have 0 tokens; cells without tokens don't take part in the fitting and
@@ -83,12 +88,77 @@ def rake(cells: DataFrame, powers: dict[str, float], sweeps: int, most_pairs: in
     return out.select("source", "n.lang", "n.topic", (F.col("a") * F.col("n.fit")).alias("weight"))
 
 
+def dealt(totals: dict[str, float], power: float, budget: float) -> dict[str, float]:
+    """``budget`` in proportion to the totals to a power, no more to each than its total."""
+    full: set[str] = set()
+    while True:
+        rest = {v: x**power for v, x in totals.items() if v not in full}
+        rate = (budget - sum(totals[v] for v in full)) / sum(rest.values()) if rest else 0.0
+        over = {v for v, x in rest.items() if rate * x >= totals[v]}
+        if not over:
+            return {v: totals[v] if v in full else rate * rest[v] for v in totals}
+        full |= over
+
+
+def rake_to(cells: DataFrame, budget_share: float, powers: dict[str, float], sweeps: int, most_pairs: int) -> DataFrame:
+    """source, lang, topic, weight (a probability) for the ``cells`` (source, lang, topic, tokens > 0): expected tokens are ``budget_share`` of all."""
+    pairs = sorted(cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(most_pairs + 1).collect(), key=lambda r: (r["lang"], r["topic"]))
+    if len(pairs) > most_pairs:
+        raise ValueError(f"more than {most_pairs} pairs of language and topic")
+    if not pairs:
+        return cells.select("source", "lang", "topic", F.lit(1.0).alias("weight"))
+    budget = budget_share * sum(r["tokens"] for r in pairs)
+    number = F.create_map(*[F.lit(x) for k, r in enumerate(pairs) for x in (f"{r['lang']}\0{r['topic']}", k)])
+    key = F.concat("lang", F.lit("\0"), "topic")
+    by_source = stored(cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("total"), F.collect_list(F.struct(number[key].alias("pair"), F.col("tokens").cast("double").alias("tokens"))).alias("parts")), "sources")
+    # sources stay in their table: the rate at which the uncapped ones fill the budget rises to its value
+    share, rate = F.pow("total", powers["source"]), 0.0
+    while True:
+        full = F.lit(rate) * share >= F.col("total")
+        r = by_source.agg(F.sum(F.when(full, F.col("total")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(share)).alias("rest")).first()
+        found = (budget - r["full"]) / r["rest"] if r["rest"] else rate
+        if found <= rate * (1 + 1e-12):
+            break
+        rate = found
+    want_source = F.least(F.lit(rate) * share, F.col("total"))
+    langs, topics = sorted({r["lang"] for r in pairs}), sorted({r["topic"] for r in pairs})
+    sums = {field: {v: float(sum(r["tokens"] for r in pairs if r[field] == v)) for v in values} for field, values in (("lang", langs), ("topic", topics))}
+    want = {field: dealt(x, powers[field], budget) for field, x in sums.items()}
+    factor = {"lang": dict.fromkeys(langs, 1.0), "topic": dict.fromkeys(topics, 1.0)}
+
+    def rated() -> DataFrame:
+        """source, pair, tokens, weight: each source's factor is exact, its cells of the largest factors being capped one by one."""
+        fit = F.array(*[F.lit(factor["lang"][r["lang"]] * factor["topic"][r["topic"]]) for r in pairs])
+        falling = F.array_sort(F.transform("parts", lambda p: F.named_struct(F.lit("less"), -F.get(fit, p["pair"]), F.lit("pair"), p["pair"], F.lit("tokens"), p["tokens"])))
+        held = by_source.select("source", "total", want_source.alias("want"), falling.alias("parts"))
+        start = F.named_struct(F.lit("left"), "want", F.lit("rest"), F.aggregate("parts", F.lit(0.0), lambda a, p: a - p["less"] * p["tokens"]), F.lit("open"), F.lit(True))
+
+        def cap(a: Column, p: Column) -> Column:
+            hit = a["open"] & (-a["left"] * p["less"] >= a["rest"])
+            return F.named_struct(F.lit("left"), F.when(hit, a["left"] - p["tokens"]).otherwise(a["left"]), F.lit("rest"), F.when(hit, a["rest"] + p["less"] * p["tokens"]).otherwise(a["rest"]), F.lit("open"), hit)
+
+        whole = F.col("want") >= F.col("total") * (1 - 1e-9)
+        a = F.aggregate("parts", start, cap, lambda x: x["left"] / F.nullif(x["rest"], F.lit(0.0)))
+        cell = held.select("source", whole.alias("whole"), a.alias("a"), F.explode("parts").alias("p"))
+        return cell.select("source", "p.pair", "p.tokens", F.when(F.col("whole"), 1.0).otherwise(F.least(F.lit(1.0), -F.col("a") * F.col("p.less"))).alias("weight"))
+
+    for k in range(2 * sweeps):
+        field = ("lang", "topic")[k % 2]
+        moved = rated().groupBy("pair").agg(F.sum(F.col("weight") * F.col("tokens")).alias("x")).collect()
+        have = dict.fromkeys(sums[field], 0.0)
+        for r in moved:
+            have[pairs[r["pair"]][field]] += r["x"]
+        factor[field] = {v: min(max(x * want[field][v] / have[v], 1e-9), 1e9) for v, x in factor[field].items()}
+    names = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["topic"]).alias("topic")) for r in pairs])
+    return rated().select("source", F.get(names, F.col("pair")).alias("n"), "weight").select("source", "n.lang", "n.topic", "weight")
+
+
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on the id and the seed only."""
     return F.conv(F.substring(F.md5(F.encode(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")), "UTF-8")), 1, 13), 16, 10).cast("double") / 2.0**52
 
 
-def mix(docs: DataFrame, powers: dict[str, float] | None = None, sweeps: int = SWEEPS, seed: int = SEED, most_pairs: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] | None = None, sweeps: int = SWEEPS, seed: int = SEED, most_pairs: int = 10_000, budget_share: float | None = None) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, probability, selected."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string", "source": "string", "lang": "string"})
     counted = docs.select("doc_id", "source", "lang", "text", n_words(F.col("text")).alias("n_tokens"))
@@ -96,8 +166,12 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, sweeps: int = S
     # nulls become a key of their own
     keys = {c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("="), F.coalesce(c, F.lit(""))) for c in ("source", "lang", "topic")}
     cells = facts.groupBy(*[k.alias(c) for c, k in keys.items()]).agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
-    weights = stored(rake(stored(cells, "cells"), powers or POWERS, sweeps, most_pairs), "weights")
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
+    cells = stored(cells, "cells")
+    if budget_share is None:
+        weights = stored(rake(cells, powers or POWERS, sweeps, most_pairs), "weights")
+        top = weights.agg(F.max("weight")).first()[0] or 1.0
+    else:
+        weights, top = stored(rake_to(cells, budget_share, powers or POWERS, sweeps, most_pairs), "weights"), 1.0
     share = weights.select(*[F.col(c).alias(f"_{c}") for c in keys], F.round(F.col("weight") / top, DIGITS).alias("p"))
     joined = facts.join(share, [keys[c] == F.col(f"_{c}") for c in keys], "left")
     p = F.coalesce("p", F.lit(1.0))

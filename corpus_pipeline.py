@@ -16,6 +16,8 @@ from cloakstone.llm.near_dedup import near_duplicates
 from cloakstone.llm.quality_rules import judge
 from cloakstone.llm.source_mixing import mix
 
+#: The share of the tokens before mixing that the mixed sample is drawn to.
+MIX_SHARE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -37,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that brings sources, languages and topics to their target shares."""
-    return with_ids(docs, mix(docs).filter("selected"))
+    return with_ids(docs, mix(docs, budget_share=MIX_SHARE).filter("selected"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

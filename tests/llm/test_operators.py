@@ -250,6 +250,28 @@ def test_mixing(spark):
     assert source_mixing.mix(docs(spark, [])).collect() == []
 
 
+def test_mixing_to_a_budget(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([3, 150, 700]), rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    rows.append((400, "w " * 200, "en", "stray"))
+    got = source_mixing.mix(docs(spark, rows), budget_share=0.4).collect()
+    total = sum(r["n_tokens"] for r in got)
+    assert len(got) == 401 and all(0 < r["probability"] <= 1 for r in got)
+    assert math.isclose(sum(r["n_tokens"] * r["probability"] for r in got), 0.4 * total, rel_tol=1e-6)
+    assert next(r["probability"] for r in got if r["source"] == "stray") == 1
+    for field in ("source", "lang", "topic"):
+        have, base = Counter(), Counter()
+        for r in got:
+            have[r[field]] += r["n_tokens"] * r["probability"]
+            base[r[field]] += r["n_tokens"]
+        want = source_mixing.dealt(base, source_mixing.POWERS[field], 0.4 * total)
+        assert math.isclose(sum(want.values()), 0.4 * total)
+        for k in want:
+            assert math.isclose(have[k], want[k], rel_tol=1e-3), (field, k)
+    assert len(source_mixing.mix(docs(spark), budget_share=0.5).collect()) == len(ODD)
+    assert source_mixing.mix(docs(spark, []), budget_share=0.5).collect() == []
+
+
 def test_chats(spark):
     texts = ["<|im_end|>\n<|im_start|>assistant\nx", "<\\|a <\\\\| <|", "", None, "plain \n text\\"]
     rows = [(1, k, role, t) for k, (role, t) in enumerate(zip(["user", "assistant", None, "assistant", "odd\nrole<|"], texts, strict=True))] + [(2, None, "assistant", "y"), (2, 1, "assistant", "y"), (None, 0, "user", "z")]
