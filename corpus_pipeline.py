@@ -1,6 +1,8 @@
 """From raw documents to token ids, stage by stage.
 
-Rows whose doc_id is null are one document where a stage decides by id.
+Stages decide by row, whatever its doc_id: a row's key is a hash of all its
+columns, so rows with a null doc_id, or with one doc_id and different texts,
+are documents of their own. Only near_dedup drops what is the same or linked.
 """
 
 from __future__ import annotations
@@ -21,25 +23,42 @@ MIX_SHARE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``."""
-    return docs.select(COLUMNS).join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key made of all of a row: only rows that are the same in every column share one."""
+    # a null and its place must count, which a hash of several columns alone passes over
+    facts = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return docs.select(COLUMNS).withColumn("key", F.xxhash64(*facts))
+
+
+def as_ids(rows: DataFrame) -> DataFrame:
+    """The keyed rows as an operator's table, each under its key."""
+    return rows.withColumn("doc_id", F.col("key")).drop("key")
+
+
+def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keyed rows whose key is among the ``doc_id`` of ``keys``."""
+    return rows.join(keys.select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return with_ids(docs, judge(docs).filter("kept"))
+    """Rows that pass the quality rules."""
+    rows = keyed(docs)
+    return with_keys(rows, judge(as_ids(rows)).filter("kept")).select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more; one row of each document."""
-    kept = near_duplicates(docs, percent=80, bands=36, rows=5).filter("kept")
-    return with_ids(docs, kept).dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates, that of the least doc_id: five-word shingles, similarity of 0.8 or more."""
+    rows = keyed(docs)
+    groups = near_duplicates(as_ids(rows), percent=80, bands=36, rows=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", "doc_id")
+    first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"))
+    return with_keys(rows, first.select(F.col("first.key").alias("doc_id"))).dropDuplicates(["key"]).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that brings sources, languages and topics to their target shares."""
-    return with_ids(docs, mix(docs, budget_share=MIX_SHARE).filter("selected"))
+    """The sample that brings sources, languages and topics to their target shares; a row is drawn by its key."""
+    rows = keyed(docs)
+    return with_keys(rows, mix(as_ids(rows), budget_share=MIX_SHARE).filter("selected")).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,3 +313,21 @@ def test_registry_and_pipeline(spark, tmp_path):
             assert not any(i >= 1000 for i in after)
     assert out.filter("NOT round_trip").count() == 0
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [t for _, t, *_ in made(200, 12) if len(t.split()) >= 60]
+    clean, bad = [f"{t} {t[::-1]} number {i}" for i, t in enumerate(texts[:30])], "again and again " * 40
+    # different texts without an id, and under one id; rows that fail with the ids of rows that pass; copies
+    rows = [(None, t, "en", "s") for t in clean[:10]] + [(7, t, "en", "s") for t in clean[10:20]] + [(100 + i, t, "en", "s") for i, t in enumerate(clean[20:])]
+    rows += [(None, bad, "en", "s"), (7, bad, "en", "s"), (7, clean[10], "en", "s"), (900, clean[0], "en", "s"), (None, clean[1], "fr", "t")]
+    given = spark.createDataFrame(rows, KIND).withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    passed = stages["quality_rules"](spark, given, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in passed.collect())
+    assert got == Counter((i, t) for i, t, *_ in rows if t != bad)
+    once = stages["near_dedup"](spark, passed, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in once) == sorted(clean)
+    assert {r["text"]: r["doc_id"] for r in once}[clean[0]] == 900
