@@ -7,18 +7,14 @@ driver see it, so a lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='cloakstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which all executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cloakstone-steps"
     return found.rstrip("/")
 
 
@@ -36,6 +32,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes a table made by ``stored`` that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends here."""
     spark = df.sparkSession

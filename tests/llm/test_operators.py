@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,24 +66,75 @@ def test_quality_keeps_rare_languages(spark):
     many, few = [word("abcdefg") for _ in range(300)], [word("stuvwxyz") for _ in range(4000)]
     rows = [(i, " ".join(rng.choices(many, k=80)), "en", "s") for i in range(400)]
     rows += [(1000 + i, " ".join(rng.choices(few, k=80)), "es", "s") for i in range(20)] + [(2000, " ".join(rng.choices(few, k=80)), None, "s")]
-    got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows), vocabulary=2000).collect()}
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows)).collect()}
     assert sum(got[i]["kept"] for i in range(400)) >= 390
     assert all(r["kept"] for i, r in got.items() if i >= 1000)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    from cloakstone.llm.ngram_model import kneser_ney
-
-    rng = np.random.default_rng(1)
-    grams = Counter(tuple(rng.integers(0, 6, 3) ** 2 % 7) for _ in range(500))
-    df = spark.createDataFrame([(int(a) << 6 | int(b) << 3 | int(c), n) for (a, b, c), n in grams.items()], "code long, n long")
-    for limit in (10**6, 40):
-        model = kneser_ney(df, 3, 3, 8, limit)
-        assert all(len(level.gram) <= limit and len(level.history) <= limit for level in model.levels)
-        for a in range(8):
-            p = model.probability(np.array([a << 6 | 2 << 3 | c for c in range(8)]))
-            assert math.isclose(p.sum(), 1.0, rel_tol=1e-9) and (p > 0).all()
-    assert np.allclose(kneser_ney(df.limit(0), 3, 3, 8, 10).probability(np.arange(8)), 1 / 8)
+def test_quality_rejects_what_is_too_predictable(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9)))
+    words = [word() for _ in range(3000)]
+    line = " ".join(rng.sample(words, 40))
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(60, 600))) + ("\n" + " ".join(line.split()[:20]) + "\n" + " ".join(line.split()[20:40]) if i % 4 == 0 else ""), "en", "s") for i in range(400)]
+    rows += [(1000, line + " " + " ".join(line.split()[3:17]), "en", "s")] + [(2000 + i, rows[1][1], "en", "s") for i in range(200)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, rows)).collect()}
+    assert not got[1000]["base_failed"] and not got[1000]["kept"] and got[1000]["log10_ppl"] < got[1000]["lower"]
+    # a clean text that has many copies stays
+    assert all(got[i]["kept"] for i in range(2000, 2200)) and sum(got[i]["kept"] for i in range(400)) >= 380
+
+
+def test_quality_by_join_is_the_same(spark):
+    rows = made(120, 9)
+    one, two = (sorted(quality_rules.judge(docs(spark, rows), held_grams=h).collect(), key=str) for h in (1 << 23, 0))
+    assert [r[:8] for r in one] == [r[:8] for r in two]
+    for x, y in zip(one, two, strict=True):
+        assert (x["log10_ppl"], x["kept"]) == (y["log10_ppl"], y["kept"]) or math.isclose(x["log10_ppl"], y["log10_ppl"], rel_tol=1e-6) and x["kept"] == y["kept"]
+
+
+def test_kneser_ney_is_as_by_its_definition(spark):
+    from cloakstone.llm import ngram_model
+    from cloakstone.llm._words import texts_of
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aab b\u00e9c", k=rng.randint(0, 40))) for _ in range(60)]
+    order = 4
+    code, doc = ngram_model.byte_grams(texts_of(pa.array(texts)), order)
+    assert np.bincount(doc, minlength=60).tolist() == [len(t.encode()) for t in texts]
+    counts = Counter()
+    for t in texts:
+        x = [0] * (order - 1) + [b + 1 for b in t.encode()]
+        counts.update(tuple(x[i - order + 1 : i + 1]) for i in range(order - 1, len(x)))
+    packed = {g: sum(s << 9 * (order - 1 - i) for i, s in enumerate(g)) for g in counts}
+    assert Counter(code.tolist()) == {packed[g]: n for g, n in counts.items()}
+    levels = ngram_model.kneser_ney(spark.createDataFrame([(packed[g], n) for g, n in counts.items()], "code long, n long"), order)
+    by = {order: counts}
+    for k in range(order - 1, 0, -1):
+        by[k] = Counter()
+        for g, n in by[k + 1].items():
+            by[k][g[1:]] += n if g[1] == 0 else 1
+    cuts = {k: ngram_model.discounts(Counter(c.values())) for k, c in by.items()}
+    cut = lambda k, n: cuts[k][min(n, 3) - 1]
+
+    def p(g: tuple) -> float:
+        if not g:
+            return 1 / 256
+        k, followers = len(g), {x: n for x, n in by[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(followers.values())
+        if not total:
+            return p(g[1:])
+        n = followers.get(g, 0)
+        return (n - cut(k, n) if n else 0) / total + sum(cut(k, m) for m in followers.values()) / total * p(g[1:])
+
+    for k, level in enumerate(levels, 1):
+        got = {r["code"]: r["p"] for r in level.collect()}
+        assert len(got) == len(by[k])
+        for g in by[k]:
+            assert math.isclose(got[sum(s << 9 * (k - 1 - i) for i, s in enumerate(g))], p(g), rel_tol=1e-9)
+    some = next(iter(counts))[:-1]
+    assert math.isclose(sum(p((*some, s)) for s in range(1, 257)), 1.0, rel_tol=1e-9)
+    empty = ngram_model.kneser_ney(spark.createDataFrame([], "code long, n long"), 2)
+    assert all(level.count() == 0 for level in empty)
 
 
 def test_fingerprints(spark):
