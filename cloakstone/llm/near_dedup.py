@@ -21,10 +21,11 @@ A true link is missed only if no band agrees: with 30 bands of 6 rows and a
 similarity of 0.85 that has probability 7e-7 or less.
 
 Defined cases: null, empty and blank texts have an empty set and are linked
-with nothing; a text of fewer than five words is one shingle; rows that repeat
-a doc_id with one text share its component, and those that repeat it with other
-texts are linked by any of these; rows with a null doc_id form no links and are
-their own component (null), kept.
+with nothing, their component being their doc_id; a text of fewer than five
+words is one shingle; all other rows of a doc_id are one document, linked by
+any of its texts, and share one component; rows with a null doc_id form no links and are
+their own component (null), kept; an empty table gives an empty result; other
+columns are ignored, whatever their names; a text of any length is one set.
 """
 
 from __future__ import annotations
@@ -98,17 +99,25 @@ def super_min_hash(doc: np.ndarray, value: np.ndarray, n_docs: int, size: int) -
     return out.reshape(n_docs, size)
 
 
-def set_facts(doc: np.ndarray, value: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
-    """Of each set: size, two 64-bit fingerprints, band hashes (n_docs x bands)."""
+def prints(doc: np.ndarray, value: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
     count = np.bincount(doc, minlength=n_docs)
     one, two = np.zeros(n_docs, U), np.zeros(n_docs, U)
-    signature = np.zeros((n_docs, bands * rows), U)
+    at = np.flatnonzero(count)
     with np.errstate(over="ignore"):
-        at = np.flatnonzero(count)
         if len(at):
             first = (np.cumsum(count) - count)[at]
             one[at] = np.add.reduceat(mix(value), first)
             two[at] = np.add.reduceat(mix(value ^ GOLD), first)
+    return one, two
+
+
+def set_facts(doc: np.ndarray, value: np.ndarray, n_docs: int, bands: int, rows: int) -> tuple[np.ndarray, ...]:
+    """Of each set: size, two 64-bit fingerprints, band hashes (n_docs x bands)."""
+    count = np.bincount(doc, minlength=n_docs)
+    one, two = prints(doc, value, n_docs)
+    signature = np.zeros((n_docs, bands * rows), U)
+    with np.errstate(over="ignore"):
         # sets in runs of about 60,000 elements, so that the permutations fit in memory
         ends = np.cumsum(count)
         i = 0
@@ -139,16 +148,21 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, one long, two long, buckets array<long>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, elements (binary: the sorted distinct shingle hashes)."""
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, elements (binary: the sorted distinct shingle hashes) for the sets of ``wanted`` (id, one, two, doc_id: a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, limit=1 << 20):
-            doc, value = distinct_shingles(*shingles_of(words_of(texts, lower=True), batch.num_rows, SIZE))
-            at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
-            yield batch_of(doc_id=batch.column("doc_id"), elements=pa.array([value[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary()))
+            n = batch.num_rows
+            doc, value = distinct_shingles(*shingles_of(words_of(texts, lower=True), n, SIZE))
+            one, two = prints(doc, value, n)
+            at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+            yield batch_of(one=one.view(np.int64), two=two.view(np.int64), elements=pa.array([value[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id long, elements binary")
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    found = texts.mapInArrow(run, "one long, two long, elements binary").join(wanted.select("id", "one", "two"), ["one", "two"])
+    # a document may have several texts, and one of them may be another wanted set
+    return found.select("id", "elements").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,8 +179,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    x = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -204,7 +218,7 @@ def rare_elements(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.repeat(np.arange(len(held)), [len(x) for x in held])
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "n", "component", "apart")), pa.array(np.concatenate(held))], names=["id", "n", "component", "apart", "element"])
 
-    given = live.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "n", "component", "apart", "elements")
+    given = live.join(sets, "id").select("id", "n", "component", "apart", "elements")
     elements = stored(given.mapInArrow(spread, "id long, n long, component long, apart boolean, element long"), "elements")
     held = elements.groupBy("element").agg(F.count("*").alias("sets"))
     most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
@@ -252,21 +266,24 @@ def link_buckets(members: DataFrame, sets: DataFrame, percent: int, rounds: int,
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 30, rows: int = 6, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
-    facts = stored(sketch(docs, bands, rows), "sketches")
+    # a set's id is the number of one of the rows that have it: unlike a doc_id, it tells sets apart
+    facts = stored(sketch(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = facts.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(some.groupBy("one", "two").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    named = some.join(classes, ["one", "two"]).select("doc_id", "id", "n", "buckets")
-    leads = named.filter("doc_id = id").select("id", "n", F.explode("buckets").alias("bucket"))
-    members = leads.groupBy("bucket", "id").agg(F.min("n").alias("n"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    members = stored(members.join(full, "bucket"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    one_text = docs.join(wanted, "doc_id", "left_semi")
-    sets = stored(sets_of(one_text).dropDuplicates(["doc_id"]), "sets")
-    found = link_buckets(members, sets, percent, rounds).withColumnRenamed("id", "lead")
-    own = classes.select("one", "two", F.col("id").alias("lead"))
-    out = facts.select("doc_id", "n", "one", "two").join(own, ["one", "two"], "left").join(found, "lead", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "lead")).otherwise(F.col("doc_id"))
+    classes = stored(some.groupBy("one", "two").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id")), "classes")
+    leads = some.join(classes.select("one", "two", "id"), ["one", "two"]).filter("row = id").select("id", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    full = leads.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    members = stored(leads.join(full, "bucket").select("bucket", "id", "n"), "members")
+    sets = stored(sets_of(docs, classes.join(members.select("id").distinct(), "id", "left_semi")), "sets")
+    found = link_buckets(members, sets, percent, rounds)
+    named = some.join(classes.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id")
+    several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("doc_id", "a")
+    same = stored(named.join(several, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b").distinct(), "same")
+    if not same.isEmpty():
+        found = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(same)), "components")
+    own = classes.join(found, "id", "left").select("one", "two", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = own.groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = facts.select("doc_id", "n", "one", "two").join(own.join(least, "component").select("one", "two", "least"), ["one", "two"], "left")
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

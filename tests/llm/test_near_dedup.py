@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -16,10 +17,9 @@ def shingles(text):
 
 
 def expected(rows, percent):
-    sets = {}
-    for i, t in rows:
-        sets[i] = shingles(t)
-    parent = {i: i for i in sets}
+    """(doc_id, set size, component) of each row; rows are linked by their texts and by their doc_id."""
+    sets = {k: shingles(t) for k, (_, t) in enumerate(rows)}
+    parent = {k: k for k in sets}
 
     def top(x):
         while parent[x] != x:
@@ -28,10 +28,14 @@ def expected(rows, percent):
 
     for a, b in combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= percent * len(x | y):
-            a, b = top(a), top(b)
-            parent[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), top(i)) for i in sets}
+        ids = rows[a][0], rows[b][0]
+        if x and y and None not in ids and (ids[0] == ids[1] or 100 * len(x & y) >= percent * len(x | y)):
+            parent[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[top(k)] = min(i, least.get(top(k), i))
+    return Counter((i, len(sets[k]), least[top(k)] if sets[k] and i is not None else i) for k, (i, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("direct", [64, 4])
@@ -52,10 +56,25 @@ def test_against_brute_force(spark, monkeypatch, direct):
     rows += [(1000 + i, " ".join(word() for _ in range(rng.randint(1, 60)))) for i in range(60)]
     rows += [(2000 + i, rows[k][1].upper()) for i, k in enumerate(rng.choices(range(len(rows)), k=40))]
     rows += [(3000, None), (3001, ""), (3002, " \n"), (3003, "one two"), (3004, "ONE  two"), (3005, "x " * 20000), (3006, "x " * 9000)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = expected(rows, 85)
-    assert {i: g[:2] for i, g in got.items()} == want
-    assert all(g[2] == (i == g[1]) for i, g in got.items())
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r)[:3] for r in got) == expected(rows, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_and_null_ids_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    base = [[f"w{rng.randint(0, 900)}" for _ in range(60)] for _ in range(12)]
+    rows = [(5, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (9, "f g h i j")]
+    for _ in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 9)}"
+        rows.append((rng.choice([None, *range(10, 120)]), rng.choice([" ".join(w), " ".join(w), " ".join(w[:3]), "", None])))
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, id int, row int")
+    got = near_duplicates(df).collect()
+    assert Counter(tuple(r)[:3] for r in got) == expected(rows, 85)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
 def test_odd_tables(spark):
