@@ -6,13 +6,17 @@ of their own (so at most that many), the others share ``classes`` symbols by
 their last two bytes; within its class a word has probability
 (c + 0.5) / (the class's sum of c + 0.5, plus 0.5), c its training count.
 
-Training: a few rounds on at most ``warm_docs`` texts (the least hashes of
-their ids; the first ``warm_tokens`` tokens of each) choose the starting point
-only; then rounds of Baum-Welch go over all training texts, whose expected
+Training starts from a model that is counted over all training texts: how often
+each of the ``seen`` most frequent symbols follows each other gives every one a
+profile of neighbours, profiles are grouped into as many clusters as there are
+states (a projection by singular vectors, then k-means), and a state emits its
+cluster's symbols, moves as clusters follow each other, and shares all other
+symbols. Then rounds of Baum-Welch go over all training texts, whose expected
 counts are added up in each partition and then across partitions by symbol,
 until a round raises the log likelihood by less than ``tolerance`` of itself. A
-training sequence is at most ``span`` tokens long; longer texts give several.
-Scoring is the scaled forward recursion over the whole text, exactly.
+text of more than ``span`` tokens is trained as several sequences of that size,
+which bounds memory; shorter ones are whole. Scoring is the scaled forward
+recursion over the whole text, exactly.
 
 A text's token counts come from a table of words that make up at least
 1 / ``common`` of the training tokens (at most that many, broadcast), and for
@@ -38,6 +42,8 @@ from ._cluster import columns_of, stored, table
 from ._words import LOWER, Counter, Texts, U, Words, batch_of, blocks, look_up, words_of
 
 END_HASH = np.int64(-1)
+#: Texts of more tokens than this are long.
+LONG = 2048
 
 
 class Vocabulary(NamedTuple):
@@ -257,20 +263,77 @@ def sequences_of(raw: list[bytes], span: int) -> list[np.ndarray]:
     return out
 
 
-def train(encoded: DataFrame, v: Vocabulary, states: int, tolerance: float, warm_docs: int, warm_tokens: int, warm_rounds: int, span: int, seed: int = 11) -> Model:
-    """Baum-Welch over all training texts, until a round raises their log likelihood by less than ``tolerance`` of itself."""
+def count_pairs(encoded: DataFrame, top: np.ndarray) -> np.ndarray:
+    """How often each of the symbols ``top`` (sorted; the last row and column: any other) is followed by each, over all of ``encoded``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(top)
+    size = len(top) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for x in batch.column("symbols").to_pylist():
+                i, hit = look_up(shared.value, np.frombuffer(x, "<u4").astype(np.int64))
+                n = np.where(hit, i, size - 1)
+                np.add.at(table, n[:-1] * size + n[1:], 1)
+        some = np.flatnonzero(table)
+        yield batch_of(pair=some.astype(np.int64), n=table[some])
+
+    found = encoded.select("symbols").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size * size)
+    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return out.reshape(size, size)
+
+
+def clusters(profiles: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Each row's cluster of k: the best of ten runs of weighted k-means, from centres that lie apart."""
+    best, out = np.inf, np.zeros(len(profiles), np.int64)
+    for _ in range(10):
+        centres = profiles[rng.choice(len(profiles), 1, p=weights / weights.sum())]
+        while len(centres) < k:
+            far = ((profiles[:, None] - centres[None]) ** 2).sum(2).min(1) * weights
+            centres = np.concatenate([centres, profiles[[rng.choice(len(profiles), p=far / far.sum())] if far.sum() > 0 else [0]]])
+        for _ in range(30):
+            distance = ((profiles[:, None] - centres[None]) ** 2).sum(2)
+            own = distance.argmin(1)
+            for c in range(k):
+                if (own == c).any():
+                    centres[c] = np.average(profiles[own == c], axis=0, weights=weights[own == c])
+        cost = float((distance.min(1) * weights).sum())
+        if cost < best:
+            best, out = cost, own
+    return out
+
+
+def start_model(encoded: DataFrame, v: Vocabulary, share: np.ndarray, states: int, seen: int, seed: int) -> Model:
+    """The model that training starts from, counted over all of ``encoded``."""
     rng = np.random.default_rng(seed)
+    top = np.sort(np.argsort(-share, kind="stable")[:seen])
+    pairs = count_pairs(encoded, top)
+    follow = np.sqrt(pairs[:-1] / np.maximum(pairs[:-1].sum(1, keepdims=True), 1))
+    ahead = np.sqrt(pairs[:, :-1].T / np.maximum(pairs[:, :-1].sum(0)[:, None], 1))
+    both = np.concatenate([follow, ahead], 1)
+    left, size, _ = np.linalg.svd(both - both.mean(0), full_matrices=False)
+    own = clusters((left * size)[:, :states], np.ones(len(top)), states, rng)
+    member = np.full((v.size, states), 0.5 / states)
+    member[top] = 0.05 / states
+    member[top, own] += 0.95
+    # what follows what, by clusters; other symbols belong to all alike
+    by = np.concatenate([np.eye(states)[own], np.full((1, states), 1 / states)])
+    moves = by.T @ pairs @ by
+    # symbols that all states share alike would never be told apart
+    noise = rng.uniform(0.5, 1.5, member.shape)
+    return updated(np.ones(states), moves, member * noise * share[:, None] * max(1.0, pairs.sum()), share, 10.0)
+
+
+def train(encoded: DataFrame, v: Vocabulary, states: int, tolerance: float, span: int, seen: int, seed: int = 11) -> Model:
+    """Baum-Welch over all training texts, until a round raises their log likelihood by less than ``tolerance`` of itself."""
     share = np.full(v.size, 1e-6)
     i, _ = look_up(v.common, v.symbols)
     if len(v.symbols):
         share[v.classes :] += v.counts[i]
     share[: v.classes] += 10**v.class_log
     share /= share.sum()
-    model = updated(np.zeros(states), 4.0 * np.eye(states), rng.gamma(0.5, 1.0, (v.size, states)) * share[:, None] * 1e4, share, 10.0)
-    picked = encoded.filter("NOT held_out").select("symbols", F.xxhash64("doc_id", "n_tokens").alias("h"), F.substring("symbols", 1, 4 * warm_tokens).alias("head")).orderBy("h").select("head").limit(warm_docs).collect()
-    warm = by_step(sequences_of([bytes(r["head"]) for r in picked], span))
-    for _ in range(warm_rounds if len(picked) else 0):
-        model = updated(*expected_counts(model, warm)[:3], share, 10.0)
+    model = start_model(encoded.filter("NOT held_out"), v, share, states, seen, seed)
     columns = [f"s{k}" for k in range(states)]
     kinds = ", ".join(f"{c} double" for c in columns)
     context = encoded.sparkSession.sparkContext
@@ -286,16 +349,20 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, tolerance: float, warm
                 got = expected_counts(model, by_step(sequences_of(held, span)))
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got, strict=True))
 
-            held, size = [], 0
+            # long texts go together, so that short ones don't wait for their many steps
+            held, size = ([], []), [0, 0]
             for batch in batches:
                 for x in batch.column("symbols").to_pylist():
-                    held.append(x)
-                    size += len(x) // 4
-                    if size >= 1_000_000:
-                        add(held)
-                        held, size = [], 0
-            if held:
-                add(held)
+                    long = len(x) > 4 * LONG
+                    held[long].append(x)
+                    size[long] += len(x) // 4
+                    if size[long] >= 1_000_000:
+                        add(held[long])
+                        held[long].clear()
+                        size[long] = 0
+            for rest in held:
+                if rest:
+                    add(rest)
             if sums is not None:
                 starts, moves, emissions, likelihood = sums
                 some = np.flatnonzero(emissions.sum(1))
@@ -319,13 +386,13 @@ def train(encoded: DataFrame, v: Vocabulary, states: int, tolerance: float, warm
         last, model = likelihood, updated(by_row[-1], moves, emissions, share, 10.0)
 
 
-def score(docs: DataFrame, states: int = 8, tolerance: float = 1e-4, classes: int = 512, common: int = 1 << 19, symbols: int = 1 << 14, warm_docs: int = 600, warm_tokens: int = 400, warm_rounds: int = 25, span: int = 4096) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, tolerance: float = 1e-4, classes: int = 512, common: int = 1 << 19, symbols: int = 1 << 14, span: int = 1 << 20, seen: int = 1024) -> DataFrame:
     """One row for each of ``docs`` (doc_id, text); see the contract of op6 for its columns."""
     docs = columns_of(docs, {"doc_id": "long", "text": "string"})
     counted = stored(count_tokens(docs, classes), "tokens")
     v = vocabulary(counted, classes, common, symbols)
     encoded = stored(encode(docs, v).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    model = train(encoded.select("doc_id", "held_out", "n_tokens", "symbols"), v, states, tolerance, warm_docs, warm_tokens, warm_rounds, span)
+    model = train(encoded.select("held_out", "symbols"), v, states, tolerance, span, seen)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -221,15 +221,39 @@ def test_hidden_markov_trains_until_it_stops_rising(spark, monkeypatch):
 
     def trained(**more):
         models.clear()
-        got = hidden_markov.score(docs(spark, rows), states=4, classes=64, warm_docs=5, warm_tokens=5, **more).collect()
-        # the start and the 25 rounds that choose it come first
-        return len(models) - 26, sum(r["score"] for r in got if not r["held_out"])
+        got = hidden_markov.score(docs(spark, rows), states=7, classes=64, **more).collect()
+        # the model that training starts from comes first
+        return len(models) - 1, sum(r["score"] for r in got if not r["held_out"]), sum(r["score"] - r["base_score"] for r in got if r["held_out"])
 
-    rounds, score = trained()
-    assert rounds > 2
+    rounds, score, gain = trained(tolerance=1e-6)
+    assert rounds > 2 and gain > 0.3 * sum(len(t.split()) for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1) * math.log10(2)
     assert trained(tolerance=1.0)[1] < score
 
 
+def test_hidden_markov_scores_by_its_definition(spark, monkeypatch):
+    rows = made(80, 5) + [(1000, None, "en", "s"), (1001, "Unknown WORDS only", "en", "s")]
+    kept, train, words = {}, hidden_markov.train, hidden_markov.vocabulary
+    monkeypatch.setattr(hidden_markov, "train", lambda *a, **k: kept.setdefault("model", train(*a, **k)))
+    monkeypatch.setattr(hidden_markov, "vocabulary", lambda *a: kept.setdefault("v", words(*a)))
+    got = {r["doc_id"]: r["score"] for r in hidden_markov.score(docs(spark, rows), states=3, classes=16, common=60, symbols=25).collect()}
+    model, v = kept["model"], kept["v"]
+    from cloakstone.llm._words import texts_of
+
+    counts = Counter(x for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for x in WORDS.findall((t or "").lower()))
+    for i, t, *_ in rows:
+        _, hashes, kind = hidden_markov.tokens_of(texts_of(pa.array([t or ""])), v.classes)
+        own = dict(zip(v.symbols.tolist(), range(len(v.symbols)), strict=True))
+        a, log = model.start, 0.0
+        for n, (key, k, word) in enumerate(zip(hidden_markov.keys_of(hashes, kind).tolist(), kind.tolist(), [*WORDS.findall((t or "").lower()), None], strict=True)):
+            symbol = v.classes + own[key] if key in own else k
+            if key not in own:  # a word by its class, then by its count in the class
+                log += math.log10(counts[word] + 0.5) - v.class_log[k]
+            a = (a if n == 0 else a @ model.move) * model.emit[:, symbol]
+            log += math.log10(a.sum())
+            a = a / a.sum()
+        assert math.isclose(got[i], log, rel_tol=1e-9)
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(3)
     model = hidden_markov.Model(*(lambda a, b, c: (a / a.sum(), b / b.sum(1, keepdims=True), c / c.sum(1, keepdims=True)))(rng.random(3), rng.random((3, 3)), rng.random((3, 5))))
