@@ -40,6 +40,8 @@ def test_small_merge_lists(seed):
     for _ in range(200):
         word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
         assert [a.labels[i] for i in encoder.word(word)] == merged(word, merges)
+    some = [i for i, t in enumerate(tokens) if t in pool and a.born[i] < 1 << 40]
+    assert all(a.passes(u, v) == a.accepts(u, v) for u in some for v in some)
 
 
 def test_same_as_library():
@@ -56,3 +58,31 @@ def test_same_as_library():
         ids = encoder.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == expected, repr(text)
         assert decode_ids(encoder.automaton.labels, ids) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_pieces_by_the_library_are_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    from cloakstone.llm.id_files import LibraryEncoder
+
+    file = open(vocabulary_path(), encoding="utf-8").read()
+    library, encoder = Tokenizer.from_str(file), LibraryEncoder(file)
+    rng = random.Random(8)
+    alphabet = ["a", "b", "Word", " ", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "'s", "'", "12", ".", ",", "!", "é", "ß", "中", "\U0001f600", "\u094d", "<|endoftext|>", "<|", "_", "²"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_clashing_columns(spark):
+    from cloakstone.llm.bpe_automaton import decode, encode
+
+    df = spark.createDataFrame([(1, "ab c", "x", 7), (1, None, None, None)], "doc_id long, text string, ids string, n int")
+    out = decode(encode(df, vocabulary_path()).withColumn("text", decode_marker()), vocabulary_path())
+    assert out.columns == ["doc_id", "n", "ids", "text"] and [r["text"] for r in out.collect()] == ["ab c", ""]
+
+
+def decode_marker():
+    from pyspark.sql import functions as F
+
+    return F.lit("other")
