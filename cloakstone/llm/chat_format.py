@@ -10,7 +10,9 @@ counts are recorded in order. Turns are marked
 Escaping: any ``<`` + backslashes + ``|`` in a text gets one backslash more, so
 no text holds a control string, and taking one backslash away gives the text
 back. A role that isn't a plain word is written as ``=`` and its UTF-8 bytes in
-hexadecimal. The loss mask covers the content of assistant turns.
+hexadecimal. The loss mask covers the content of assistant turns, placeholders
+that the assistant gives included. A conversation is one row of the result, so
+it must fit into one (2 GB); its turns are brought together by one shuffle.
 
 Defined cases: null texts and roles are empty; a turn without parts has empty
 content; a part of unknown kind is treated as text; turns are in the order of
@@ -136,7 +138,9 @@ def text_parts(rows: DataFrame) -> DataFrame:
 
 def digests(read: DataFrame) -> DataFrame:
     plain = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), unescape(t["content"]), F.lit("\n")))
-    under = F.array_join(F.transform("loss", lambda x: unescape(F.get("turns", x["turn"])["content"])), "")
+    # what lies between a mask's offsets in the formatted text, and nothing else, is under the loss
+    cut = lambda x: F.substr("formatted", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+    under = F.array_join(F.transform("loss", lambda x: unescape(cut(x))), "")
     out = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(F.array_join(plain, ""), "UTF-8"), 256).alias("turns_sha256"), under.alias("under"), F.length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("under").cast("long").alias("loss_chars"), F.sha2(F.encode("under", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")
 

@@ -361,6 +361,16 @@ def test_chats(spark):
         assert got[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
 
 
+def test_chat_mask_is_read_back(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "<|b|> \U0001f600c"), (1, 2, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    made_ = chat_format.format_chats(chat_format.text_parts(df))
+    right = chat_format.digests(chat_format.read_chats(made_)).first()
+    assert right["loss_sha256"] == hashlib.sha256("<|b|> \U0001f600cd".encode()).hexdigest()
+    for start, end in ((1, 0), (0, 1), (-1, -1)):
+        moved = made_.withColumn("loss", F.transform("loss", lambda x: F.struct(x["turn"].alias("turn"), (x["start"] + start).alias("start"), (x["end"] + end).alias("end"))))
+        assert chat_format.digests(chat_format.read_chats(moved)).first()["loss_sha256"] != right["loss_sha256"]
+
+
 def test_typed_parts(spark):
     part = lambda kind, **more: {"kind": kind, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | more
     rows = [(1, 0, "user", [part("text", text="see <|image|>"), part("image", ref="a.png", width=28, height=15), part("audio", ref="b.wav", seconds=2.0)]), (1, 1, "assistant", [part("document", ref="c.pdf", pages=2), part("text", text="ok")]), (1, 2, "user", None)]
