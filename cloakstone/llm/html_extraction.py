@@ -1,8 +1,9 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 ``leaf_blocks`` reads a page by its tags and cuts its text where block
-elements begin and end; scripts, styles, templates, the head, form fields and
-comments of the markup hold no text. Each block is described by the tags and
+elements begin and end; scripts, styles, templates, frames, the head, values of
+form fields and comments of the markup hold no text, all else is left to the
+field (that an element is hidden is a feature). Each block is described by the tags and
 the words of the class, id and role attributes of its ancestors, and by its
 text: length, share of link text, end of sentence, and so on. A chain with two
 labels (main text or not) is trained by its log-likelihood on labelled pages;
@@ -15,7 +16,8 @@ become one space, blocks are trimmed and joined in page order by two newlines.
 Defined cases: a null or empty page, and one whose blocks are all boilerplate,
 give an empty text; unclosed and stray tags, quotes and comments are read as
 far as they go; repeated rows are each extracted; an empty table gives an empty
-result. Pages of any length are read whole.
+result; other columns are ignored, whatever their names. Pages of any length
+are read whole, in time proportional to their length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,17 +38,21 @@ from pyspark.sql import functions as F
 from ._cluster import columns_of, table
 from ._words import batch_of
 
-TAG = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<!\[CDATA\[(?s:.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A tag whose quoted values close, and one that ends at its first ">".
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img rp rt ruby".split())
-SILENT = frozenset("head script style template noframes iframe object svg math canvas audio video select button textarea datalist xmp noembed title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img rp rt ruby button object canvas svg math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup semantics annotation g text tspan".split())
+#: What holds no text of the page: its head, programs, styles, frames, and the values of form fields.
+SILENT = frozenset("head script style template noframes iframe select textarea datalist noembed title".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "body": frozenset(["head"]), "thead": frozenset(["thead"]), "tbody": frozenset(["thead", "tbody"]), "tfoot": frozenset(["tbody"]),
 }
 BARRIER = frozenset("table ul ol dl body html div section article main aside td th blockquote".split())
+LISTS = frozenset("table ul ol dl html".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -71,11 +78,58 @@ def own_features(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
+class Element(NamedTuple):
+    tag: str
+    features: tuple[str, ...]
+    """With those of its ancestors."""
+    silent: bool
+    linked: bool
+    owner: Element | None
+    """The nearest element that isn't inline, itself if this is None."""
+
+
+def read_tags(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, whether it closes, tag, attributes, where it ends) of each tag in order; last the rest, with an empty tag.
+
+    Nothing is read twice: from a tag whose quotes or ">" never come, tags end at their first ">".
+    """
+    at, n, last, last_data, plain = 0, len(page), page.rfind(">"), page.rfind("]]>"), False
+    begin = at
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last and not page.startswith("<!--", at):
+            yield page[begin:], False, "", "", n
+            return
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4) + 3
+            end = end if end > 2 else n
+        elif page.startswith("<![CDATA[", at) and at < last_data:
+            end = page.find("]]>", at) + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+        if end > 0:
+            yield page[begin:at], False, "!", "", end
+            at = begin = end
+            continue
+        m = None
+        if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/":
+            m = None if plain else TAG.match(page, at)
+            if m is None:
+                m = PLAIN_TAG.match(page, at)
+                plain = plain or m is not None
+        if m is None:
+            at += 1
+            continue
+        jump = yield page[begin:at], bool(m[1]), m[2].lower(), m[3], m.end()
+        at = begin = m.end() if jump is None else jump
+
+
+def leaf_blocks(page: str, known: dict[str, float] | None = None) -> list[Block]:
+    """The page's blocks of text in order. known: the features that matter (others aren't kept)."""
     blocks: list[Block] = []
-    # of each open element: tag, features with its ancestors', whether text inside is silent, whether it is inside a link
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    stack = [Element("", (), False, False, None)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked, owner = 0, stack[0]
 
@@ -84,47 +138,58 @@ def leaf_blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append(Block(joined, owner[1], owner[0], min(1.0, linked / len(joined))))
+                blocks.append(Block(joined, owner.features, owner.tag, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked, owner
-        if raw and not stack[-1][2]:
+        top = stack[-1]
+        if raw and not top.silent:
             raw = html.unescape(raw) if "&" in raw else raw
-            if not text or not owner[1]:
-                # the block belongs to the nearest element that isn't inline
-                owner = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
+            if not text or not owner.features:
+                owner = top.owner or top
             text.append(raw)
-            if stack[-1][3]:
+            if top.linked:
                 linked += len(raw.strip())
 
     def pop_to(i: int) -> None:
-        if any(e[0] not in INLINE for e in stack[i:]):
+        if any(e.tag not in INLINE for e in stack[i:]):
             flush()
+        opened.subtract(e.tag for e in stack[i:])
         del stack[i:]
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+    def pop(tags: frozenset[str], within: frozenset[str]) -> None:
+        """Closes the last open element of these tags, unless one of ``within`` was opened after it."""
+        if any(opened[t] > 0 for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    return pop_to(i)
+                if stack[i].tag in within:
+                    return None
+        return None
+
+    tags = read_tags(page)
+    jump = None
+    while True:
+        try:
+            before, close, tag, attributes, end = tags.send(jump)
+        except StopIteration:
             break
-        add(page[at : m.start()])
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        jump = None
+        add(before)
+        if tag in ("", "!"):
             continue
-        tag = tag.lower()
         if close:
-            if tag == "p" and all(e[0] != "p" for e in stack):
+            if tag == "p" and opened["p"] <= 0:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE or stack[i][0] in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop_to(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE or stack[i].tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                        break
             continue
         if tag == "br":
             add(" ")
@@ -134,28 +199,23 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in BARRIER:
-                    break
+            pop(frozenset(["p"]), BARRIER)
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("table", "ul", "ol", "dl", "html"):
-                    break
+            pop(CLOSES[tag], LISTS)
         if attributes.endswith("/") and tag not in INLINE and tag not in ENDS_P:
             continue
         top = stack[-1]
         own = own_features(tag, attributes)
-        features = top[1] if tag in INLINE and len(own) == 1 else tuple(dict.fromkeys([*top[1], *own]))
-        stack.append((tag, features, top[2] or tag in SILENT or "hidden" in own, top[3] or tag == "a"))
+        plain = tag in INLINE and len(own) == 1
+        if known is not None:
+            own = tuple(f for f in own if f in known)
+        features = top.features if plain else tuple(dict.fromkeys([*top.features, *own]))
+        stack.append(Element(tag, features, top.silent or tag in SILENT, top.linked or tag == "a", (top.owner or top) if tag in INLINE else None))
+        opened[tag] += 1
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else n
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, end)
+            jump = found.start() if found else len(page)
+            add(page[end:jump])
     flush()
     return blocks
 
@@ -303,6 +363,8 @@ def training_pages(n: int = 500, seed: int = 17) -> list[tuple[str, list[str]]]:
             inner = prose()
         else:
             inner = rng.choice([prose(), f"<p>{prose()}</p>", f"<p>{sentence()} {link()}</p>", f"<h3>{words(1, 5)}</h3><p>{prose()}</p>", f"<div>{prose()}</div>", f"<span>{sentence()}</span>"])
+        if rng.random() < 0.06:
+            attribute += rng.choice([" hidden", ' style="display: none"', ' aria-hidden="true"'])
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
     def main() -> tuple[str, list[str]]:
@@ -388,7 +450,7 @@ def default_field() -> Field:
 
 
 def main_blocks(page: str | None, field: Field, known: dict[tuple[str, ...], float] | None = None) -> list[str]:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", field.weights)
     return [b.text for b, good in zip(blocks, viterbi(field, node_scores(field, blocks, {} if known is None else known)), strict=True) if good]
 
 

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -268,6 +269,37 @@ def test_forward_is_exact():
     assert math.isclose(starts.sum(), 4, rel_tol=1e-4) and math.isclose(moves.sum(), 12, rel_tol=1e-4) and math.isclose(emissions.sum(), 16, rel_tol=1e-4)
 
 
+def hand_made_pages():
+    """(page, main blocks) of layouts that the training pages don't share."""
+    said = [
+        "How rivers change their beds", "Rivers move sand and stones all year, and they never stop doing so.", "In spring the water rises quickly; in autumn it falls again.",
+        "Let x be the height of the water in metres.", "Two things matter", "the slope of the valley", "how much rain falls", "A long drought leaves the bed dry, so that plants take hold between the stones, and their roots keep the banks in place for many years.", "Press Start to begin.",
+    ]
+    body = f"<h1>{said[0]}</h1><p>{said[1]}<p>{said[2]}<p>Let <math><mi>x</mi></math> be the height of the water in <object>metres</object>.</p><h2>{said[4]}</h2><ul><li>{said[5]}<li>{said[6]}</ul><p>{said[7]}</p><p>Press <button>Start</button> to begin.</p>"
+    menu = "<a href=/>Home</a> <a href=/news>News</a> <a href=/shop>Shop</a>"
+    yield f"<html><body><div id=topbar class='site-header'><nav>{menu}</nav></div><div class=content-wrapper><article class=post>{body}</article><aside class=sidebar><h4>Popular</h4><p><a href=1>Ten tips</a></p></aside></div><footer class=site-footer><p>&copy; 2024 River House</p></footer></body></html>", said
+    yield f"<body><header><h2 class=logo>The Daily</h2>{menu}</header><main><section class=story>{body}</section><section id=comments class=comments><h3>3 comments</h3><div class=comment><p>I liked this very much, thanks!</p></div></section></main></body>", said
+    yield f"<body><ul class='menu main-menu'><li>{menu}</li></ul><div class='cookie-banner'><p>We use cookies to make this site work.</p></div><div class='entry-content'>{body}</div><div class='advertisement'><p>Buy boots now!</p></div><form class='newsletter-signup'><p>Subscribe to our letter.</p><input></form></body>", said
+    yield f"<body><nav class=breadcrumbs>{menu}</nav><article>{body}<div class=share-buttons>{menu}</div></article><div class=footer-links>{menu} Imprint</div></body>", said
+
+
+def test_html_of_other_layouts():
+    field = html_extraction.default_field()
+    right = wrong = missing = 0
+    for page, want in hand_made_pages():
+        got = html_extraction.main_blocks(page, field)
+        hit = Counter(got) & Counter(want)
+        right, wrong, missing = right + hit.total(), wrong + len(got) - hit.total(), missing + len(want) - hit.total()
+    assert right / (right + wrong) >= 0.95 and right / (right + missing) >= 0.95, (right, wrong, missing)
+
+
+@pytest.mark.parametrize("page", ["<p a='" * 1_700_000, "<p a='>'" * 300_000, "<" * 3_000_000, "<![CDATA[" * 300_000, "<!--" * 500_000, "<b>a" * 300_000, "<span><dt>" * 100_000, "".join(f"<div class=x{i}>a" for i in range(100_000)), "<table><td>" * 30_000 + "</div>" * 90_000])
+def test_html_is_read_in_linear_time(page):
+    began = time.process_time()
+    html_extraction.leaf_blocks(page, {})
+    assert time.process_time() - began < 8
+
+
 def test_html(spark):
     field = html_extraction.default_field()
     pages = html_extraction.training_pages(120, seed=5)
