@@ -6,19 +6,22 @@ and a path; it fits its host and every subdomain where the url's path starts
 with the rule's; of those that fit, the longest wins.
 
 The trees are fitted on labelled URLs (``labelled_urls`` makes a set of them
-by rule, with commercial, hyphenated and padded hosts as the bad ones; any
-other labelled list can be given), with logistic loss: each tree halves the
-feature values' ranges at up to 32 quantiles, to ``depth`` levels. Suffix
-statistics are the smoothed share of bad URLs by the host's last label.
+by rule; any other labelled list can be given), with logistic loss: each tree
+halves the feature values' ranges at up to 32 quantiles, to ``depth`` levels.
+Suffix statistics are the smoothed shares of bad URLs by the host's last
+label, by its words, and by the four-letter pieces of these, learnt from the
+same labels; what fewer than ``least`` labelled URLs show has the overall share.
 
 Defined cases: null and urls without ``://`` have an empty host and path, no
-rule fits them, and the trees judge their text as it is (null: empty);
-repeated rows are each judged; an empty table gives an empty result.
+rule fits them, and the trees judge their text as it is (null: empty); urls of
+any length are read whole; repeated rows are each judged; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +36,8 @@ from ._cluster import columns_of, table
 from ._words import batch_of
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "entropy", "parameters", "hyphens", "host_hyphens", "longest_run", "other_share", "suffix")
+WORDS = re.compile("[a-z]+")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "entropy", "parameters", "hyphens", "host_hyphens", "longest_run", "other_share", "suffix", "word", "piece", "pieces")
 
 
 def host_of(url: Column) -> Column:
@@ -53,6 +57,13 @@ def fits(rule: str, host: Column, path: Column) -> Column:
     return ((host == own) | host.endswith("." + own)) & path.startswith(rule[at:])
 
 
+def host_shows(host: str) -> tuple[str, list[str], list[str]]:
+    """The keys of a host's suffix, words and pieces of words in the suffix statistics."""
+    front, _, last = host.rpartition(".")
+    words = WORDS.findall(front or last)
+    return f".{last}", [f"w:{w}" for w in words], [f"p:{w[i : i + 4]}" for w in words for i in range(len(w) - 3)]
+
+
 def entropy(text: str) -> float:
     n = len(text)
     return -sum(c / n * np.log2(c / n) for c in Counter(text).values()) if n else 0.0
@@ -68,6 +79,9 @@ def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
     labels = host.split(".")
     runs = max((len(x) for x in labels), default=0)
     digits = sum(c.isdigit() for c in rest)
+    prior = suffixes[""]
+    suffix, words, pieces = host_shows(host)
+    shares = [suffixes.get(x, prior) for x in pieces]
     return [
         len(rest),
         len(host),
@@ -82,7 +96,10 @@ def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
         host.count("-"),
         runs,
         sum(not (c.isalnum() or c in "./-") for c in rest) / max(1, len(rest)),
-        suffixes.get(labels[-1], suffixes[""]),
+        suffixes.get(suffix, prior),
+        max((suffixes.get(w, prior) for w in words), default=prior),
+        max(shares, default=prior),
+        sum(shares) / len(shares) if shares else prior,
     ]
 
 
@@ -115,10 +132,11 @@ def fit(urls: list[str], bad: list[int], trees: int = 60, depth: int = 3, rate:
     prior = (y.sum() + 1) / (len(y) + 2)
     seen: dict[str, list[float]] = {}
     for url, b in zip(urls, bad, strict=True):
-        rest = url.partition("://")[2] or url
-        label = rest.lower().split("/")[0].split("?")[0].split("#")[0].rpartition(".")[2]
-        seen.setdefault(label, []).append(b)
-    suffixes = {k: (sum(v) + 10 * prior) / (len(v) + 10) for k, v in seen.items()} | {"": prior}
+        host = re.split("[/?#]", url.partition("://")[2] or url, maxsplit=1)[0].lower()
+        suffix, words, pieces = host_shows(host)
+        for key in {suffix, *words, *pieces}:
+            seen.setdefault(key, []).append(b)
+    suffixes = {k: (sum(v) + 10 * prior) / (len(v) + 10) for k, v in seen.items() if len(v) >= least} | {"": prior}
     x = np.array([features(u, suffixes) for u in urls], float).reshape(len(urls), len(FEATURES))
     base = float(np.log(prior / (1 - prior)))
     total, inner = np.full(len(y), base), 2**depth - 1
@@ -154,24 +172,30 @@ def fit(urls: list[str], bad: list[int], trees: int = 60, depth: int = 3, rate:
     return Trees(base, *((np.array(z) for z in zip(*out, strict=True)) if out else (empty.astype(np.int64), empty, np.zeros((0, 2**depth)))), suffixes)
 
 
-def labelled_urls(n: int = 4000, seed: int = 3) -> tuple[list[str], list[int]]:
-    """Made-up urls with labels: 1 for advertising and junk hosts, 0 for others."""
+def labelled_urls(n: int = 6000, seed: int = 3) -> tuple[list[str], list[int]]:
+    """Made-up urls with labels: 1 for advertising and junk hosts, 0 for others. Hyphens, digits and rare suffixes occur in both."""
     rng = random.Random(seed)
     parts = "th re on an er ti in at ou ha be st ing ed ra mo lu ka sel vin dor per tal nor mi".split()
-    lures = "cheap free win casino pills loan poker adult bonus deal sale farm spam bet cash xxx dating crypto replica diet".split()
-    tails = "com org net info example.com example.org example.net".split()
+    lures = "cheap free win casino pills loan poker adult bonus deal sale farm spam bet bets cash xxx dating crypto replica diet ads track".split()
+    plain = "city news book river school garden music park green north house water science paper history health sport travel food art".split()
+    tails = "com org net info example.com example.org example.net de fr co.uk edu".split()
+    odd_tails = "xyz top click biz win loan info com net".split()
     word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
+    junk = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(a, b)))
+    letters = lambda a, b: "".join(rng.choice(("aeiou", "bcdfghklmnprstvw")[k % 2]) for k in range(rng.randint(a, b)))
     urls, bad = [], []
     for _ in range(n):
-        path = "/".join([rng.choice(["en", "fr", "de", "es", word()]), *(rng.choice([word(), str(rng.randint(1, 999))]) for _ in range(rng.randint(0, 3)))])
-        end = rng.choice(["", "", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])
-        front = rng.choice(["", "", "www.", "m.", "blog."])
-        if is_bad := rng.random() < 0.35:
+        path = "/".join([rng.choice(["en", "fr", "de", "es", word()]), *(rng.choice([word(), str(rng.randint(1, 99999))]) for _ in range(rng.randint(0, 3)))])
+        end = rng.choice(["", "", "/", ".html", ".php", f"?id={rng.randint(1, 999)}", f"?q={word()}&lang=en", "?page=2&sort=new", "#part"])
+        front = rng.choice(["", "", "www.", "m.", "blog.", "shop.", "cdn.", "en.", "news.", "api."])
+        if is_bad := rng.random() < 0.4:
             lure = rng.choice(lures)
-            host = rng.choice([f"{lure}-{word()}", f"{lure}-{rng.choice(lures)}", f"{word()}-{lure}", f"{lure}-{rng.choice('xyz')}", f"{lure}{rng.randint(1, 999)}-{word()}", f"{lure}-{lure}-{rng.randint(1, 99)}"])
+            number = str(rng.randint(1, 999))
+            host = rng.choice([f"{lure}-{word()}", f"{lure}-{rng.choice(lures)}", f"{word()}-{lure}", f"{lure}-{rng.choice('xyz')}", f"{lure}{number}", f"{lure}{rng.choice(lures)}", f"{lure}{word()}", f"{word()}{lure}{number}", f"{lure}-{lure}-{number}", junk(14, 24)])
+            end = rng.choice([end, end, f"?{junk(2, 5)}={junk(8, 20)}&{junk(2, 5)}={junk(8, 20)}&aff={number}"])
         else:
-            host = word() if rng.random() < 0.95 else f"{word()}-{word()}"
-        urls.append(f"{rng.choice(['http', 'https'])}://{front}{host}.{rng.choice(tails)}/{path}{end}")
+            host = rng.choice([word(), word(), word(), word() + word(), letters(4, 11), f"{word()}-{word()}", f"{rng.choice(plain)}-{word()}", f"{rng.choice(plain)}{rng.choice(plain)}", f"{word()}-{rng.choice(plain)}", f"{word()}{rng.randint(1, 99)}"])
+        urls.append(f"{rng.choice(['http', 'https'])}://{front}{host}.{rng.choice(odd_tails if is_bad and rng.random() < 0.5 else tails)}/{path}{end}")
         bad.append(int(is_bad))
     return urls, bad
 

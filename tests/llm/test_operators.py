@@ -337,6 +337,13 @@ def test_urls(spark):
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in (1, 2, 3, 4, 5, 6, 7)] == [("www.example.org", "/es/x", "example.org/es/"), ("a.org", "", None), ("example.org", "/en/12", "example.org/en/1"), ("m.a.com", "/fr/", "com/fr/"), ("com", "/de/1", "com/de/"), ("", "", None), ("", "", None)]
     assert got[9]["verdict"] == "block" and got[8]["rule"] is None
+    # hosts that the labelled set doesn't hold, with hyphens and without
+    clean = ["http://tionsh.example.net/fr/6550?utm_source=feed", "https://well-water.example.org/en/1", "https://www.stone-bridge-tours.com/a/b.html", "https://en.wikipedia.org/wiki/Rain", "http://m.harbour12.de/x"]
+    junk = ["http://poker247.com/en/1", "https://freecasino.net/", "https://m.ads-track.example.com/es/9", "http://blog.spam-farm.example.org/a", "https://adult-x.example.com/fr/2", "http://cheaploans.biz/?id=3"]
+    rows = list(enumerate(clean + junk)) + [(90, "http://a.net/" + "x" * 2_000_000), (91, "http://a.net/")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[]).collect()}
+    assert [got[i] for i in range(len(clean + junk))] == ["allow"] * len(clean) + ["block"] * len(junk)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
 def test_mixing(spark):
