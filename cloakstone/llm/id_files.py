@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._cluster import columns_of, new_path, stored, table
 from ._runs import place, run_of
@@ -180,8 +181,11 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, rows: int = 400, most: int = 1 << 15) -> DataFrame:
-    """Writes the ids of ``docs`` (doc_id, text), with ``end`` after each document, into ``folder``; returns the manifest: run, file, n_ids."""
+def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, rows: int = 400, most: int = 1 << 15, file_ids: int = 1 << 21) -> DataFrame:
+    """Writes the ids of ``docs`` (doc_id, text), with ``end`` after each document, into ``folder``; returns the manifest: run, part, file, n_ids.
+
+    A file ends with its run, or with the document that brings it to ``file_ids`` ids: a task holds no more than these and one document.
+    """
     spark = docs.sparkSession
     docs = docs.withColumn("at", place())
     run, _ = run_of(docs.select("at"), "at", rows, most)
@@ -191,41 +195,44 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, ro
     where, path = open_folder(folder)
     where.create_dir(path, recursive=True)
 
-    def save(run: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
+    def save(run: int, number: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
         where, path = open_folder(folder)
-        name = f"ids-{run:08d}.pfr"
+        name = f"ids-{run:08d}-{number:06d}.pfr"
         own = f"{path}/.{name}.{uuid.uuid4().hex}"
         with where.open_output_stream(own) as out:
             out.write(file_bytes(doc_ids, ids))
         where.move(own, f"{path}/{name}")
-        return batch_of(run=np.array([run], np.int32), file=[name], n_ids=np.array([sum(map(len, ids)) // 4], np.int64))
+        return batch_of(run=np.array([run], np.int32), part=np.array([number], np.int32), file=[name], n_ids=np.array([sum(map(len, ids)) // 4], np.int64))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(shared.value)
-        now, doc_ids, ids = None, [], []
+        now, number, held, doc_ids, ids = None, 0, 0, [], []
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500).to_pydict()
                 for r, doc_id, text in zip(part["run"], part["doc_id"], part["text"], strict=True):
-                    if r != now and ids:
-                        yield save(now, doc_ids, ids)
-                        doc_ids, ids = [], []
+                    if ids and (r != now or held >= 4 * file_ids):
+                        yield save(now, number, doc_ids, ids)
+                        number, held, doc_ids, ids = number + 1 if r == now else 0, 0, [], []
                     now = r
                     doc_ids.append(doc_id)
                     ids.append(encoder.encode(text or "") + last)
+                    held += len(ids[-1])
         if ids:
-            yield save(now, doc_ids, ids)
+            yield save(now, number, doc_ids, ids)
 
     dealt = docs.select(run.alias("run"), "at", "doc_id", "text").repartition("run").sortWithinPartitions("run", "at", "text")
-    return stored(dealt.select("run", "doc_id", "text").mapInArrow(write, "run int, file string, n_ids long"), "manifest")
+    return stored(dealt.select("run", "doc_id", "text").mapInArrow(write, "run int, part int, file string, n_ids long"), "manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), ids (binary, the end id included) for each document in the files."""
     spark = manifest.sparkSession
-    files = sorted(manifest.collect(), key=lambda r: r["run"])  # one row a file: at most `most`
-    before = np.cumsum([0, *[r["n_ids"] for r in files]])
-    rows = spark.createDataFrame([(r["file"], int(b)) for r, b in zip(files, before, strict=False)], "file string, before long")
+    runs = sorted(manifest.groupBy("run").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["run"])  # at most `most` rows
+    starts = np.cumsum([0, *[r["n"] for r in runs]])
+    first = spark.createDataFrame([(r["run"], int(b)) for r, b in zip(runs, starts, strict=False)], "run int, first long")
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = manifest.withColumn("within", within).join(F.broadcast(first), "run").select("file", (F.col("first") + F.col("within")).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = open_folder(folder)
@@ -237,7 +244,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 parts = [raw[4 * a : 4 * (a + int(n))] for a, n in zip(at, docs["n"], strict=True)]
                 yield batch_of(doc_id=pa.array(docs["doc_id"].astype(np.int64), pa.int64(), mask=docs["present"] == 0), start=first + at, ids=pa.array(parts, pa.binary()))
 
-    return rows.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(read, "doc_id long, start long, ids binary")
+    return rows.repartition(max(1, min(manifest.count(), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def with_crc(read: DataFrame) -> DataFrame:

@@ -176,7 +176,8 @@ def test_bpe_and_files(spark, tmp_path):
     want = sorted((i or 0, len(e := library.encode(t or "", add_special_tokens=False).ids), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
     folder = f"file://{tmp_path}/ids"
-    manifest = id_files.write_files(docs(spark, rows).select("doc_id", "text"), vocabulary_path(), folder, rows=2)
+    manifest = id_files.write_files(docs(spark, rows).select("doc_id", "text"), vocabulary_path(), folder, rows=2, file_ids=50)
+    assert manifest.filter("part > 0").count() and manifest.filter("run > 0").count()
     back = sorted(id_files.with_crc(id_files.read_files(manifest, folder)).collect(), key=lambda r: r["start"])
     at = 0
     for r, (i, t, *_) in zip(back, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), strict=True):
