@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base_queries
 from .bpe_automaton import op4_bpe
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprints import op3_fingerprints
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
+    **base_queries.QUERIES,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_source_mixing": OP9_SQL,
     "op10_chat_format": OP10_SQL,
+    **base_queries.ORACLE_SQL,
 }
