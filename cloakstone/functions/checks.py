@@ -73,7 +73,7 @@ OTHER_DIGITS, THEIR_ASCII = _decimal_digits()
 
 def normalize_digits(text: Column) -> Column:
     """Every decimal digit of any script as its ASCII digit, one code point for one."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, OTHER_DIGITS, THEIR_ASCII)).otherwise(text)
+    return F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(text, OTHER_DIGITS, THEIR_ASCII)).otherwise(text)
 
 
 def hmac_sha256(key: str | bytes, value: Column) -> Column:

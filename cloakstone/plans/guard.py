@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from cloakstone.functions.checks import hmac_sha256, normalize_digits, plain_number
 from cloakstone.functions.patterns import slice_text
 from cloakstone.operators import column_names
+from cloakstone.operators.globs import tool_fits
 from cloakstone.operators.detectors import DETECTORS, PatternDetector, no_spans, span
 from cloakstone.operators.rewrite import clusters, rewrite, rewrite_whole
 
@@ -88,7 +89,7 @@ class Guard:
     def _resolved(self, spans: Column, entity: str) -> Column:
         return self._findings(F.filter(spans, lambda s: s["confidence"] >= self.policy.defaults.min_confidence), *self.policy.resolve(entity))
 
-    def _pinned(self, text: Column, tool: str, path: tuple, indexes: list[Column]) -> Column | None:
+    def _pinned(self, text: Column, tool: str | Column, path: tuple, indexes: list[Column]) -> Column | None:
         """The finding of the first path rule that fits."""
         whole = lambda: F.array(span(F.lit(0), F.length(text), "STRUCTURAL", F.lit(1.0), 0, "policy_match"))
         out: Column | None = None
@@ -97,19 +98,25 @@ class Guard:
             if not found:
                 continue
             made = self._findings(whole(), rule.action, rule)
-            if () in found:
+            by_row = None if isinstance(tool, str) or rule.match.tool == "*" else tool_fits(tool, [rule.match.tool])
+            if () in found and by_row is None:
                 return made if out is None else out.otherwise(made)
-            fits = F.lit(False)
+            fits = F.lit(() in found)
             for d in found:
                 every = F.lit(True)
                 for k, position in d:
                     every = every & (indexes[k] == position)
                 fits = fits | every
+            if by_row is not None:
+                fits = fits & by_row
             out = F.when(fits, made) if out is None else out.when(fits, made)
         return None if out is None else F.coalesce(out, F.array().cast("array<struct<start:int,end:int,entity_type:string,confidence:double,tier:int,detector:string,action:string,rule_id:string,withholds:boolean>>"))
 
-    def findings(self, text: Column, tool: str = "", path: tuple = (), indexes: list[Column] | None = None, scannable: bool = True, key: Column | None = None) -> Column | None:
-        """All findings of a leaf's text, in order; None if there can't be any. key: the name, where only the rows know it."""
+    def findings(self, text: Column, tool: str | Column = "", path: tuple = (), indexes: list[Column] | None = None, scannable: bool = True, key: Column | None = None, is_text: bool | Column = True) -> Column | None:
+        """All findings of a leaf's text, in order; None if there can't be any. key: the name, where only the rows know it.
+
+        is_text: whether the leaf is a string; detectors of tier 2 read only these.
+        """
         parts: list[Column] = []
         pinned = self._pinned(text, tool, path, indexes or [])
         if pinned is not None:
@@ -117,17 +124,32 @@ class Guard:
         if scannable:
             whole = lambda entity: F.when(text != "", F.array(span(F.lit(0), F.length(text), entity, F.lit(column_names.CONFIDENCE), 0, column_names.DETECTOR))).otherwise(no_spans())
             if key is not None:
-                entity = column_names.entity_expression(key)
-                parts += [self._resolved(F.when(entity == e, whole(e)).otherwise(no_spans()), e) for e in sorted(column_names.ENTITIES) if self.covered is None or e in self.covered]
+                wanted = [e for e in sorted(column_names.ENTITIES) if self.covered is None or e in self.covered]
+                if wanted:
+                    named = lambda n: F.concat(*[self._resolved(F.when(n == e, whole(e)).otherwise(no_spans()), e) for e in wanted])
+                    parts.append(let(column_names.entity_expression(key), named))
             else:
                 name = next((s for s in reversed(path) if isinstance(s, str)), None)
                 for tell in (column_names.entity_of, *self.extra_names) if name else ():
                     if (e := tell(name)) and (self.covered is None or e in self.covered):
                         parts.append(self._resolved(whole(e), e))
-            if self.detectors:
-                parts.append(let(normalize_digits(text), lambda t: F.concat(*[self._resolved(d.spans(t), d.entity_type) for d in self.detectors])))
+            detectors = [d for d in self.detectors if d.tier < 2 or is_text is not False]
+
+            def spans(d: PatternDetector, t: Column) -> Column:
+                return d.spans(t) if d.tier < 2 or is_text is True else F.when(is_text, d.spans(t)).otherwise(no_spans())
+
+            if detectors:
+                parts.append(let(normalize_digits(text), lambda t: F.concat(*[self._resolved(spans(d, t), d.entity_type) for d in detectors])))
         return F.concat(*parts) if parts else None
 
+    def _looks(self, tool: str | Column, path: tuple, scannable: bool, key: Column | None, is_text: bool) -> bool:
+        """Whether a leaf can have findings at all."""
+        if any(demands(r.match.steps, path) for r in self.policy.path_rules(tool)):
+            return True
+        name = next((s for s in reversed(path) if isinstance(s, str)), None)
+        told = key is not None or name and any((e := tell(name)) and (self.covered is None or e in self.covered) for tell in (column_names.entity_of, *self.extra_names))
+        return scannable and bool(told or any(d.tier < 2 or is_text for d in self.detectors))
+
     def _events(self, findings: Column, text: Column, path: Column) -> Column:
         def one(f: Column) -> Column:
             value = slice_text(text, f["start"], f["end"])
@@ -143,7 +165,7 @@ class Guard:
 
     # the walk over a schema
 
-    def _leaf(self, value: Column, kind: T.DataType, tool: str, path: tuple, shown: Column, indexes: list[Column], key: Column | None) -> Column:
+    def _leaf(self, value: Column, kind: T.DataType, tool: str | Column, path: tuple, shown: Column, indexes: list[Column], key: Column | None) -> Column:
         is_text, is_number = isinstance(kind, T.StringType), isinstance(kind, NUMBERS)
         is_other = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType | T.DecimalType)
         keep = F.struct(value.alias("v"), no_events().alias("e"))
@@ -152,12 +174,11 @@ class Guard:
         text = value if is_text else plain_number(value.cast("double")) if isinstance(kind, T.FloatType | T.DoubleType) else value.cast("string")
         scannable = is_text or is_number or is_other
         text = F.coalesce(text, F.lit("None")) if not scannable else text
-        found = self.findings(text, tool, path, indexes, scannable, key)
-        if found is None:
+        if not self._looks(tool, path, scannable, key, is_text):
             return keep
         token = self._token()
 
-        def done(f: Column) -> Column:
+        def done(f: Column, text: Column) -> Column:
             events = self._events(f, text if scannable else F.lit(""), shown)
             if is_text:
                 new = let(clusters(f), lambda m: rewrite(value, m, self.policy.name, token, self.strict_partial))
@@ -169,12 +190,15 @@ class Guard:
                     new = F.when(F.size(f) > 0, new).otherwise(value.cast("string"))
             return F.struct(new.alias("v"), events.alias("e"))
 
+        # a number's text is an expression of its own, and is worked out once
+        worked = lambda t: let(self.findings(t, tool, path, indexes, scannable, key, is_text), lambda f: done(f, t))
         if not scannable:
-            return let(found, done)
+            return let(text, worked)
+        made = worked(text) if is_text else let(text, worked)
         empty = F.lit(None).cast("string" if is_text or self.numeric_leaf != "null" else kind)
-        return F.when(value.isNull(), F.struct(empty.alias("v"), no_events().alias("e"))).otherwise(let(found, done))
+        return F.when(value.isNull(), F.struct(empty.alias("v"), no_events().alias("e"))).otherwise(made)
 
-    def _walk(self, value: Column, kind: T.DataType, tool: str, path: tuple, shown: Column, indexes: list[Column], key: Column | None = None) -> Column:
+    def _walk(self, value: Column, kind: T.DataType, tool: str | Column, path: tuple, shown: Column, indexes: list[Column], key: Column | None = None) -> Column:
         """struct<v: the rewritten value, e: its events>."""
         if isinstance(kind, T.StructType):
             parts = [self._walk(value[f.name], f.dataType, tool, (*path, f.name), F.concat(shown, F.lit(f".{f.name}")), indexes) for f in kind.fields]
@@ -193,50 +217,67 @@ class Guard:
             return let(each, lambda a: F.struct(F.map_from_entries(F.transform(a, lambda x: F.struct(x["key"], x["w"]["v"]))).alias("v"), F.coalesce(F.flatten(F.transform(a, lambda x: x["w"]["e"])), no_events()).alias("e")))
         return self._leaf(value, kind, tool, path, shown, indexes, key)
 
-    def scan(self, df: DataFrame, tool: str = "table", direction: str = "result", columns: Sequence[str] | None = None) -> DataFrame:
+    def scan(self, df: DataFrame, tool: str | Column = "table", direction: str = "result", columns: Sequence[str] | None = None) -> DataFrame:
         """``df`` with the named columns (default: all) rewritten, and two more columns.
 
         guard: struct<blocked, block_reason, rule_id, modified>; events: array of EVENT. Where a rule
         withholds the whole result, the scanned columns are null and the events end with its finding.
-        A null value gives no event. Rows stay as many and in place.
+        A null value gives no event. Rows stay as many and in place. tool: a name for all rows, or a column.
         """
         chosen = [c for c in df.columns if columns is None or c in columns]
         taken = {"guard", "events", "_found"} & set(df.columns)
         if taken:
             raise ValueError(f"rename the columns {sorted(taken)} first")
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        col = lambda c: F.col(f"`{c}`")
-        found = df.select(*[col(c) for c in df.columns], F.struct(*[self._walk(col(c), kinds[c], tool, (c,), F.lit(f"$.{c}"), []).alias(f"c{i}") for i, c in enumerate(chosen)]).alias("_found"))
-        return self._finish(found, df.columns, {c: F.col("_found")[f"c{i}"] for i, c in enumerate(chosen)}, direction)
+        made = {c: self._walk(F.col(f"`{c}`"), kinds[c], tool, (c,), F.lit(f"$.{c}"), []) for c in chosen}
+        return self._finish(df, df.columns, made, direction)
 
     def scan_text(self, df: DataFrame, column: str, tool: str = "text", direction: str = "request") -> DataFrame:
         """The same for a column whose text is the whole payload: its path is ``$``, and its name tells nothing."""
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        found = df.select("*", F.struct(self._walk(F.col(f"`{column}`"), kinds[column], tool, (), F.lit("$"), []).alias("c0")).alias("_found"))
-        return self._finish(found, df.columns, {column: F.col("_found")["c0"]}, direction)
+        return self._finish(df, df.columns, {column: self._walk(F.col(f"`{column}`"), kinds[column], tool, (), F.lit("$"), [])}, direction)
+
+    def _finish(self, df: DataFrame, columns: Sequence[str], made: dict[str, Column], direction: str) -> DataFrame:
+        """``columns`` of ``df``, those in ``made`` (struct<v, e>) replaced, with guard and events.
 
-    def _finish(self, found: DataFrame, columns: Sequence[str], made: dict[str, Column], direction: str) -> DataFrame:
+        All of it is one expression, from the walk to the decision. A projection that reads the walk's result by
+        several names would be merged with the walk by the optimizer, and the walk written out at each name.
+        """
         reasons = {r.id: r.message or f"{direction} withheld by policy {self.policy.name!r} (rule {r.id!r})" for r in self.policy.rules if r.scope == "result"}
-        events = F.concat(*[m["e"] for m in made.values()]) if made else no_events()
-        found = found.select("*", events.alias("_events"))
-        first = F.array_position(F.transform("_events", lambda e: e["withholds"]), F.lit(True))
-        blocked = first > 0
-        upto = F.when(blocked, F.slice("_events", F.lit(1), F.greatest(first, F.lit(1)).cast("int"))).otherwise(F.col("_events"))
-        rule = F.when(blocked, F.get("_events", (first - 1).cast("int"))["rule_id"])
-        reason = F.lit(None).cast("string")
-        for k, text in reasons.items():
-            reason = F.when(rule == k, text).otherwise(reason)
-        modified = blocked | F.exists("_events", lambda e: e["action"] != "allow")
-        clean = [F.when(~blocked, made[c]["v"]).alias(c) if c in made else F.col(f"`{c}`") for c in columns]
-        return found.select(*clean, F.struct(blocked.alias("blocked"), reason.alias("block_reason"), rule.alias("rule_id"), modified.alias("modified")).alias("guard"), upto.alias("events"))
-
-
-def audit_events(scanned: DataFrame, policy: Policy, tool: str, direction: str, ts: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+
+        def decided(s: Column, events: Column, first: Column) -> Column:
+            blocked = first > 0
+            rule = F.when(blocked, F.get(events, first - 1)["rule_id"])
+            reason = F.lit(None).cast("string")
+            for k, text in reasons.items():
+                reason = F.when(rule == k, text).otherwise(reason)
+            upto = F.when(blocked, F.slice(events, F.lit(1), F.greatest(first, F.lit(1)))).otherwise(events)
+            modified = blocked | F.exists(events, lambda e: e["action"] != "allow")
+            clean = [F.when(~blocked, s[f"c{i}"]["v"]).alias(f"c{i}") for i in range(len(made))]
+            return F.struct(*clean, F.struct(blocked.alias("blocked"), reason.alias("block_reason"), rule.alias("rule_id"), modified.alias("modified")).alias("guard"), upto.alias("events"))
+
+        def whole(s: Column) -> Column:
+            events = F.concat(*[s[f"c{i}"]["e"] for i in range(len(made))]) if made else no_events()
+            first = lambda e: F.array_position(F.transform(e, lambda x: x["withholds"]), F.lit(True)).cast("int")
+            return let(events, lambda e: let(first(e), lambda n: decided(s, e, n)))
+
+        parts = [m.alias(f"c{i}") for i, m in enumerate(made.values())] or [F.lit(None).alias("none")]
+        found = df.select(*[F.col(f"`{c}`") for c in df.columns], let(F.struct(*parts), whole).alias("_found"))
+        place = {c: i for i, c in enumerate(made)}
+        clean = [F.col("_found")[f"c{place[c]}"].alias(c) if c in made else F.col(f"`{c}`") for c in columns]
+        return found.select(*clean, F.col("_found")["guard"].alias("guard"), F.col("_found")["events"].alias("events"))
+
+
+def audit_events(scanned: DataFrame, policy: Policy, tool: str | Column, direction: str, ts: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each event of scanned rows, ready for an audit table; ``keep`` names columns that stay with each."""
     e = F.col("_e")
-    rows = scanned.select(*[F.col(f"`{c}`") for c in keep], F.posexplode("events").alias("ordinal", "_e"))
+    fields = ("entity_type", "tier", "confidence", "rule_id", "action", "json_path", "start", "end", "value_hmac")
+    # of a column as it is, the optimizer would infer that it isn't null and not empty, and work the scan out for each
+    needed = F.transform("events", lambda x: F.struct(*[x[c].alias(c) for c in fields]))
+    name = F.lit(tool) if isinstance(tool, str) else tool
+    rows = scanned.select(*[F.col(f"`{c}`") for c in keep], name.alias("_tool"), F.posexplode(needed).alias("ordinal", "_e"))
     return rows.select(
-        *[F.col(f"`{c}`") for c in keep], "ordinal", (ts if ts is not None else F.current_timestamp()).alias("ts"), F.lit(policy.name).alias("policy"), F.lit(tool).alias("tool"), F.lit(direction).alias("direction"),
+        *[F.col(f"`{c}`") for c in keep], "ordinal", (ts if ts is not None else F.current_timestamp()).alias("ts"), F.lit(policy.name).alias("policy"), F.col("_tool").alias("tool"), F.lit(direction).alias("direction"),
         e["entity_type"].alias("entity_type"), e["tier"].alias("tier"), e["confidence"].alias("confidence"), e["rule_id"].alias("rule_id"), e["action"].alias("action"), e["json_path"].alias("json_path"),
         e["start"].alias("span_start"), e["end"].alias("span_end"), e["value_hmac"].alias("value_hmac"),
     )

@@ -59,9 +59,9 @@ class Policy:
         rule = next((r for r in self.rules if entity in r.entities), None)
         return (rule.action, rule) if rule else (self.defaults.unknown_entity_action, None)
 
-    def path_rules(self, tool: str) -> list[Rule]:
-        """Rules with a path that hold for a tool, in order."""
-        return [r for r in self.rules if r.match and fnmatch(tool, r.match.tool)]
+    def path_rules(self, tool: object) -> list[Rule]:
+        """Rules with a path that hold for a tool, in order; all of them where the tool isn't a name but differs by row."""
+        return [r for r in self.rules if r.match and (not isinstance(tool, str) or fnmatch(tool, r.match.tool))]
 
     def covered(self) -> frozenset[str] | None:
         """The only entities worth looking for; None: all, since what no rule names isn't allowed either."""

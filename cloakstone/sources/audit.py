@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .steps import shared_path
+
 COLUMNS = "ts timestamp, policy string, tool string, direction string, entity_type string, tier int, confidence double, rule_id string, action string, json_path string, span_start int, span_end int, value_hmac string"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 FILE_COLUMNS = COLUMNS.replace("span_start", "start").replace("span_end", "end").replace("ts timestamp", "ts string")
 ACTIONS = ("allow", "partial_mask", "mask", "tokenize", "redact", "block")
 NEEDED = [n for n in NAMES if n != "rule_id"]
 TABLE = "audit_events"
-ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
 
 def backend_of(destination: str) -> str:
@@ -29,6 +32,28 @@ def backend_of(destination: str) -> str:
     return "parquet" if destination.rstrip("/").endswith(".parquet") else "jsonl"
 
 
+def utc_text(ts: Column) -> Column:
+    """A time as ISO text in UTC, to the microsecond, whatever the session's time zone."""
+    plain = (F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(ts) / F.lit(1000000).cast("decimal(20,0)")).cast("decimal(18,6)"))).cast("string")
+    return F.concat(F.translate(F.substring(plain, 1, 19), " ", "T"), F.lit("."), F.rpad(F.substring(plain, 21, 6), 6, "0"), F.lit("+00:00"))
+
+
+def utc_time(text: Column) -> Column:
+    """A text as a time: UTC unless it names an offset; null where it isn't one."""
+    day, offset = text.rlike(r"^\s*\d{4}-\d\d-\d\d\s*$"), text.rlike(r"(?i)(?:z|utc|[+-]\d\d:?\d\d)\s*$")
+    return F.try_to_timestamp(F.when(day, F.concat(F.trim(text), F.lit("T00:00:00Z"))).when(offset, text).otherwise(F.concat(F.trim(text), F.lit("Z"))))
+
+
+def jdbc_options(address: str) -> dict[str, str]:
+    """JDBC options of an address like postgresql://user:password@host:5432/base?sslmode=require."""
+    parts = urlsplit(address)
+    where = parts.hostname or "localhost"
+    where = f"[{where}]" if ":" in where else where
+    url = f"jdbc:postgresql://{where}{f':{parts.port}' if parts.port else ''}{parts.path or '/'}{f'?{parts.query}' if parts.query else ''}"
+    own = {"user": parts.username, "password": parts.password}
+    return {"url": url, "dbtable": TABLE, **{k: unquote(v) for k, v in own.items() if v is not None}}
+
+
 def valid(events: DataFrame) -> DataFrame:
     """Events that hold what an event must: torn and foreign lines go."""
     good = F.col("action").isin(*ACTIONS) & F.col("direction").isin("request", "result")
@@ -42,20 +67,23 @@ def read_audit(spark: SparkSession, source: str, since: str | None = None, until
     kind = backend_of(source)
     if kind == "jsonl":
         raw = spark.read.schema(f"{FILE_COLUMNS}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(source)
-        named = raw.filter("_bad IS NULL").withColumn("ts", F.try_to_timestamp("ts")).withColumnsRenamed({"start": "span_start", "end": "span_end"})
+        named = raw.filter("_bad IS NULL").withColumn("ts", utc_time(F.col("ts"))).withColumnsRenamed({"start": "span_start", "end": "span_end"})
         events = valid(named.select(*NAMES))
     elif kind == "parquet":
         events = spark.read.parquet(source).select(*NAMES)
     elif kind == "sqlite":
         events = read_sqlite(spark, source)
     else:
-        events = spark.read.format("jdbc").option("url", "jdbc:" + source.replace("postgres://", "postgresql://", 1)).option("dbtable", TABLE).load().withColumn("ts", F.to_timestamp("ts")).select(*NAMES)
+        events = spark.read.format("jdbc").options(**jdbc_options(source)).load().withColumn("ts", utc_time(F.col("ts").cast("string"))).select(*NAMES)
     return filter_audit(events, since, until, policy)
 
 
 def parse_when(when: str | Column) -> Column:
     """A time or a date (its first moment); UTC unless it says otherwise."""
-    return F.to_timestamp(F.lit(when)) if isinstance(when, str) else when
+    if not isinstance(when, str):
+        return when
+    found = datetime.fromisoformat(when)
+    return F.lit(found if found.tzinfo else found.replace(tzinfo=timezone.utc))
 
 
 def filter_audit(events: DataFrame, since: str | None = None, until: str | None = None, policy: str | None = None) -> DataFrame:
@@ -71,13 +99,13 @@ def write_audit(events: DataFrame, destination: str) -> None:
     kind = backend_of(destination)
     events = events.select(*NAMES)
     if kind == "parquet":
-        events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(destination)
+        events.withColumn("day", F.to_date(F.substring(utc_text(F.col("ts")), 1, 10))).write.mode("append").partitionBy("day").parquet(destination)
     elif kind == "jsonl":
-        events.withColumn("ts", F.date_format("ts", ISO)).withColumnsRenamed({"span_start": "start", "span_end": "end"}).write.mode("append").json(destination)
+        events.withColumn("ts", utc_text(F.col("ts"))).withColumnsRenamed({"span_start": "start", "span_end": "end"}).write.mode("append").json(destination)
     elif kind == "sqlite":
-        write_sqlite(events.withColumn("ts", F.date_format("ts", ISO)).toLocalIterator(prefetchPartitions=True), destination)
+        write_sqlite(events.withColumn("ts", utc_text(F.col("ts"))).toLocalIterator(prefetchPartitions=True), destination)
     else:
-        events.withColumn("ts", F.date_format("ts", ISO)).write.format("jdbc").mode("append").option("url", "jdbc:" + destination.replace("postgres://", "postgresql://", 1)).option("dbtable", TABLE).save()
+        events.withColumn("ts", utc_text(F.col("ts"))).write.format("jdbc").mode("append").options(**jdbc_options(destination)).save()
 
 
 def write_sqlite(rows: Iterator, path: str) -> None:
@@ -91,15 +119,41 @@ def write_sqlite(rows: Iterator, path: str) -> None:
     con.close()
 
 
-def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
-    """An SQLite file's events: the file is on the driver, and is read there in one go; keep large audits in Parquet."""
+def sqlite_rows(path: str, after: int, most: int) -> list[tuple]:
+    """(id, event) of the next events of an SQLite file, by id."""
     con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    rows = con.execute(f"SELECT {', '.join(NAMES)} FROM {TABLE} ORDER BY id").fetchall()
-    con.close()
-    return spark.createDataFrame(rows, COLUMNS.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts"))
+    try:
+        return con.execute(f"SELECT id, {', '.join(NAMES)} FROM {TABLE} WHERE id > ? ORDER BY id LIMIT ?", (after, most)).fetchall()
+    finally:
+        con.close()
+
+
+def read_sqlite(spark: SparkSession, path: str, at_once: int = 50_000) -> DataFrame:
+    """An SQLite file's events. The file is on the driver, which hands it out ``at_once`` rows at a time through a stored table; keep large audits in Parquet."""
+    kind = COLUMNS.replace("ts timestamp", "ts string")
+    rows = sqlite_rows(path, 0, at_once)
+    if len(rows) < at_once:
+        return spark.createDataFrame([r[1:] for r in rows], kind).withColumn("ts", utc_time(F.col("ts")))
+    at = shared_path(spark, "sqlite")
+    while rows:
+        spark.createDataFrame([r[1:] for r in rows], kind).write.mode("append").parquet(at)
+        rows = sqlite_rows(path, rows[-1][0], at_once)
+    return spark.read.schema(kind).parquet(at).withColumn("ts", utc_time(F.col("ts")))
+
+
+def tail_sqlite(path: str, after: int | None = None, most: int = 1000) -> tuple[list[dict], int]:
+    """(events after the cursor ``after``, the new cursor) of an SQLite file; without a cursor, none yet and that of its end."""
+    if after is None:
+        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        try:
+            return [], con.execute(f"SELECT coalesce(max(id), 0) FROM {TABLE}").fetchone()[0]
+        finally:
+            con.close()
+    rows = sqlite_rows(path, after, most)
+    return [dict(zip(NAMES, r[1:], strict=True)) for r in rows], rows[-1][0] if rows else after
 
 
 def tail_audit(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the events of new files in a JSON-lines folder; torn and foreign lines are left out."""
     raw = spark.readStream.schema(FILE_COLUMNS).json(folder)
-    return valid(raw.withColumn("ts", F.try_to_timestamp("ts")).withColumnsRenamed({"start": "span_start", "end": "span_end"}).select(*NAMES))
+    return valid(raw.withColumn("ts", utc_time(F.col("ts"))).withColumnsRenamed({"start": "span_start", "end": "span_end"}).select(*NAMES))
