@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakstone.functions.patterns import slice_text
+from cloakstone.sources.steps import stored
+from cloakstone.streaming.confirm import confirm_batch, digest
 
 from .globs import tool_fits
 from .rewrite import partial_mask
@@ -36,6 +38,24 @@ def prompt_decision(guard: Column, mode: str = "confirm") -> Column:
     return F.when(guard["modified"], F.lit("warn" if mode == "warn" else "hold"))
 
 
+def guard_prompts(guard, messages: DataFrame, mode: str = "confirm", window: int = 300) -> DataFrame:
+    """Prompts (session_id, ordinal, ts double, prompt) with decision, reason and the masked text.
+
+    In the mode confirm a flagged prompt is blocked until the same text comes again within ``window``
+    seconds, and then confirmed. decision: null (nothing found), warn, block or confirm.
+    """
+    taken = messages.select("session_id", "ordinal", "ts", "prompt", F.col("prompt").alias("_raw"))
+    scanned = guard.scan_text(taken, "prompt").withColumn("held", prompt_decision(F.col("guard"), mode))
+    shown = summary(F.col("events"), F.col("_raw"))
+    if mode != "confirm":
+        return scanned.select("session_id", "ordinal", F.col("held").alias("decision"), F.when(F.col("held").isNotNull(), shown).alias("reason"), F.col("prompt").alias("masked"))
+    kept = stored(scanned.select("session_id", "ordinal", "ts", F.when(F.col("held").isNotNull(), digest(F.col("_raw"))).alias("digest"), shown.alias("shown"), F.col("prompt").alias("masked")), "prompts")
+    decided = confirm_batch(kept.filter("digest IS NOT NULL").select("session_id", "ordinal", "ts", "digest"), window)
+    decided = decided.select(F.col("session_id").alias("_session"), F.col("ordinal").alias("_ordinal"), "decision")
+    same = F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("ordinal") == F.col("_ordinal"))
+    return kept.join(decided, same, "left").select("session_id", "ordinal", "decision", F.when(F.col("decision").isNotNull(), F.col("shown")).alias("reason"), "masked")
+
+
 def tool_input_decision(guard: Column, tool: Column, is_object: Column, mode: str = "ask", allowlist: Sequence[str] = ()) -> Column:
     """deny what is withheld; mask: allow objects with masked input; ask or mask: ask; warn: warn; null: nothing to say."""
     if mode == "off":

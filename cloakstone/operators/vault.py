@@ -10,12 +10,16 @@ secret, kept by the caller. Plans hold the secret: don't log them.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakstone.functions.checks import hmac_sha256
+from cloakstone.sources.steps import stored
 
 SCHEMA = "scope string, entity_type string, value_hmac string, encrypted_value binary, token_id long, created_at timestamp"
 TOKEN = r"\[[A-Z][A-Z_]*_[0-9]+\]"
@@ -32,9 +36,20 @@ def label(entity: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.upper(entity), "[^A-Z_]+", "_"), "^_+|_+$", "")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` kept in the cluster's checkpoint folder, so that later reads see the same parts; as it is where no folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+def key_from(path: str) -> bytes:
+    """The secret kept in a file (made at the first call, readable by its owner only)."""
+    try:
+        fd = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600)
+    except FileExistsError:
+        with open(path, "rb") as f:
+            found = f.read()
+        if not found:
+            raise ValueError(f"the key file {path} is empty") from None
+        return found
+    made = secrets.token_hex(32).encode()
+    with os.fdopen(fd, "wb") as f:
+        f.write(made)
+    return made
 
 
 class Vault:
@@ -65,7 +80,7 @@ class Vault:
         # after what the parts before it hold; the counts are a row for each label and part
         parts = self.spark.sparkContext.defaultParallelism * 4
         dealt = new.repartitionByRange(parts, "entity_type", "ordinal", "value").withColumn("part", F.spark_partition_id())
-        dealt = _kept(dealt)
+        dealt = stored(dealt, "minted")
         sizes = dealt.groupBy("entity_type", "part").agg(F.count("*").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("entity_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = sizes.withColumn("before", before).drop("n")
@@ -92,37 +107,66 @@ class Vault:
         plain = F.decode(F.aes_decrypt("encrypted_value", F.lit(self.cipher), F.lit("GCM")), "UTF-8")
         return self.own().select(self.token(F.col("entity_type"), F.col("token_id")).alias("token"), plain.alias("value"))
 
+    def lookup(self, token: str) -> str | None:
+        """The value of one token; None if the scope doesn't know it."""
+        found = re.fullmatch(r"\[([A-Z][A-Z_]*)_([0-9]+)\]", token)
+        if not found:
+            return None
+        own = self.own().filter((F.col("entity_type") == found[1]) & (F.col("token_id") == int(found[2])))
+        row = own.select(F.decode(F.aes_decrypt("encrypted_value", F.lit(self.cipher), F.lit("GCM")), "UTF-8").alias("value")).first()
+        return row["value"] if row else None
+
     def rehydrate(self, df: DataFrame, key: list[str], column: str) -> DataFrame:
-        """``df`` with the known tokens in a text column replaced by their values; unknown tokens stay, and so do those of empty values.
+        """``df`` with the known tokens in a column (a text, or any nesting of texts) replaced by their values; unknown tokens stay, and so do those of empty values.
 
         ``key`` names columns that tell rows apart.
         """
         return rehydrate(df, key, column, self.values())
 
 
+def put_back(value: Column, kind: T.DataType, known: Column) -> Column:
+    """The value with the tokens in all its texts replaced as the map ``known`` says."""
+    if isinstance(kind, T.StringType):
+        pieces = F.split(F.regexp_replace(value, F.lit(f"({TOKEN})"), F.lit("\x00$1\x00")), "\x00", -1)
+        new = F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+        return F.when(value.rlike(TOKEN) & ~F.contains(value, F.lit("\x00")), new).otherwise(value)
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(value.isNotNull(), F.struct(*[put_back(value[f.name], f.dataType, known).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: put_back(x, kind.elementType, known))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, x: put_back(x, kind.valueType, known))
+    return value
+
+
 def rehydrate(df: DataFrame, key: list[str], column: str, values: DataFrame) -> DataFrame:
-    """Pieces between tokens and tokens are told apart, tokens are joined with ``values`` (token, value), and rows with tokens are put together again."""
-    pieces = F.split(F.regexp_replace(F.translate(column, "\x01", "\x02"), F.lit(f"({TOKEN})"), F.lit("\x01$1\x01")), "\x01", -1)
-    has = F.coalesce(F.col(column).rlike(TOKEN), F.lit(False))
-    split = df.filter(has).select(*key, F.posexplode(pieces).alias("at", "piece"))
-    looked = split.join(values.filter("value <> ''"), (F.col("piece") == F.col("token")) & (F.col("at") % 2 == 1), "left")
-    whole = looked.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("value", "piece").alias("text")))), lambda x: x["text"]), "").alias("_new"))
-    out = df.join(whole, key, "left")
-    return out.select(*[F.coalesce("_new", column).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
+    """Each row's distinct tokens are joined with ``values`` (token, value), and rows get what is known of theirs as a map.
+
+    Only tokens are shuffled, none of the text around them; a token that many rows hold is a skewed
+    key of that join, which AQE splits. A text that holds the character U+0000 stays as it is.
+    """
+    kind = df.schema[column].dataType
+    col = F.col(f"`{column}`")
+    text = col if isinstance(kind, T.StringType) else F.to_json(F.struct(col))
+    tokens = df.filter(F.coalesce(text.rlike(TOKEN), F.lit(False))).select(*key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1))).alias("token"))
+    own = tokens.join(values.filter("value <> ''").select("token", "value"), "token").groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("_known"))
+    out = df.join(own, key, "left")
+    return out.select(*[F.when(F.col("_known").isNull(), col).otherwise(put_back(col, kind, F.col("_known"))).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
 def tokenize_rows(vault: Vault, guard, df: DataFrame, key: list[str], columns: list[str], tool: str = "table", direction: str = "result") -> DataFrame:
     """A scan whose policy asks for tokens: found values are minted, then each row is scanned with its own tokens at hand.
 
-    ``key`` names columns that tell rows apart. The guard's salt must be the vault's.
+    ``key`` names columns that tell rows apart. The guard's salt must be the vault's. What the first scan
+    found is stored, values included, in the shared folder until the driver ends: keep that folder as safe as the input.
     """
     from dataclasses import replace
 
     finder = replace(guard, keep_values=True, tokens=None, salt=vault.salt)
-    found = finder.scan(df, tool, direction, columns).select(*key, F.posexplode("events").alias("at", "e")).filter("e.action = 'tokenize'")
-    values = found.select("e.entity_type", "e.value", F.struct(*key, "at", (-F.col("e.start")).alias("back")).alias("ordinal"))
-    vault.mint(values)
-    hashes = found.select(*key, "e.entity_type", label(F.col("e.entity_type")).alias("label"), "e.value_hmac").distinct()
+    listed = finder.scan(df, tool, direction, columns).select(*key, F.posexplode(F.transform("events", lambda e: F.struct(*[e[c].alias(c) for c in ("entity_type", "action", "value", "value_hmac", "start")]))).alias("at", "e"))
+    found = stored(listed.filter("e.action = 'tokenize'").select(*key, "at", "e.*"), "found")
+    vault.mint(found.select("entity_type", "value", F.struct(*key, "at", (-F.col("start")).alias("back")).alias("ordinal")))
+    hashes = found.select(*key, "entity_type", label(F.col("entity_type")).alias("label"), "value_hmac").distinct()
     known = vault.tokens().withColumnRenamed("entity_type", "label")
     own = hashes.join(known, ["label", "value_hmac"]).groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct(F.concat("entity_type", F.lit(":"), "value_hmac"), "token"))).alias("_tokens"))
     empty = F.create_map().cast("map<string,string>")

@@ -8,6 +8,7 @@ has no shuffle and runs as it is on a stream.
 
 from __future__ import annotations
 
+import os
 import secrets
 import warnings
 from collections.abc import Callable, Sequence
@@ -40,6 +41,15 @@ def no_events() -> Column:
     return F.array().cast(f"array<{EVENT}>")
 
 
+def kept_salt(path: str | None = None) -> bytes:
+    """The salt in the environment variable CLOAKSTONE_SALT, or else the one kept in a file, made at the first call."""
+    from cloakstone.operators.vault import key_from
+
+    if found := os.environ.get("CLOAKSTONE_SALT"):
+        return found.encode()
+    return key_from(path or os.path.expanduser("~/.cloakstone-salt"))
+
+
 @dataclass
 class Guard:
     """A policy made ready to scan.

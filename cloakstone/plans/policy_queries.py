@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +13,11 @@ from cloakstone.operators.json_scan import json_leaves, scan_json
 from cloakstone.operators.rewrite import clusters, partial_mask
 from cloakstone.operators.vault import Vault, rehydrate, tokenize_rows
 from cloakstone.sources.audit import filter_audit, read_audit, write_audit
+from cloakstone.sources.steps import shared_path
 from cloakstone.streaming.confirm import confirm_batch, confirm_stream, digest
 
 from .detect_queries import DOUBLED, HMAC_SQL, LUHN, PAN_SQL, SALT, ifsc_text, load, pan_text
 from .guard import Guard, audit_events
-from .paths import parse_path, path_fits
 from .policy import PRESETS, load_preset, parse_policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,15 +82,25 @@ hipaa-lite block block block block block block block allow block
 _VALUES = ", ".join(f"({i}, '{line.split()[0]}', {j}, '{e}', '{line.split()[j + 1]}')" for i, line in enumerate(DECISIONS) for j, e in enumerate(ENTITY_ACTIONS["dev"]))
 add("resolve_rules", _resolve, f"SELECT x.policy, x.entity_type, x.action, count(*) AS n FROM events JOIN (VALUES {_VALUES}) x(i, policy, j, entity_type, action) ON user_id % 7 = x.i AND event_id % 9 = x.j GROUP BY ALL")
 
-PATHS = [("$.a", "a", True), ("$.a", "a.b", False), ("$.*", "a", True), ("$..b", "a.b", True), ("$..b", "b", True), ("$.a..*", "a.x.y", True), ("$.*", "a.b", False), ("$..", "a.b", True)]
+#: Path patterns, and the same over the leaves of the rows below as SQL: (pattern, condition on key and index).
+PATHS = [("$.a.name", "key = 'a.name'"), ("$.*", "key = 'a'"), ("$..name", "key IN ('a.name', 'l.name')"), ("$.l[1].name", "key = 'l.name' AND i = 1"), ("$.l[*].name", "key = 'l.name'"), ("$.l[*]", "false"), ("$..l..*", "key LIKE 'l.%'"), ("$..", "true"), ("$.l[0]..size", "key = 'l.size' AND i = 0")]
 
 
 def _paths(s: SparkSession, d: str) -> DataFrame:
-    fits = F.array(*[F.lit(path_fits(parse_path(p), tuple(x.split(".")))) for p, x, _ in PATHS])
-    return load(s, d, "nation").select("n_nationkey", F.get(fits, F.col("n_nationkey") % len(PATHS)).alias("fits"))
-
-
-add("path_match", _paths, f"SELECT n_nationkey, {[x for _, _, x in PATHS]}[n_nationkey % {len(PATHS)} + 1] AS fits FROM nation")
+    """Which of the leaves {a: {name}, l: [{name, size}, {name, size}]} of each row a pattern reaches."""
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("size"))
+    df = load(s, d, "part").select("p_partkey", F.struct(F.col("p_name").alias("name")).alias("a"), F.array(item, item).alias("l"))
+    out = None
+    for pattern, _ in PATHS:
+        policy = parse_policy({"name": "p", "defaults": {"unknown_entity_action": "allow"}, "rules": [{"id": "r", "match": {"json_path": pattern}, "action": "redact"}]})
+        hit = Guard(policy, SALT).scan(df, columns=["a", "l"])
+        one = hit.select("p_partkey", F.lit(pattern).alias("pattern"), F.array_join(F.array_sort(F.transform("events", lambda e: e["json_path"])), " ").alias("reached"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_LEAVES = "(VALUES ('a.name', NULL, '$.a.name'), ('l.name', 0, '$.l[0].name'), ('l.name', 1, '$.l[1].name'), ('l.size', 0, '$.l[0].size'), ('l.size', 1, '$.l[1].size')) AS leaves(key, i, path)"
+add("path_match", _paths, " UNION ALL ".join(f"SELECT p_partkey, '{p}' AS pattern, (SELECT coalesce(string_agg(path, ' ' ORDER BY path), '') FROM {_LEAVES} WHERE {c}) AS reached FROM part" for p, c in PATHS))
 add(
     "min_confidence",
     lambda s, d: Guard(policy_of("mask", "PAN", min_confidence=0.7), SALT).scan(load(s, d, "customer").select("c_custkey", pan_text().alias("code")), columns=["code"]).select("c_custkey", "code", F.size("events").alias("n_events")),
@@ -203,15 +211,9 @@ add("audit_summary", lambda s, d: report.summary(audit_table(s, d)).select("enti
 add("audit_tail", lambda s, d: audit_table(s, d).select(report.tail_line().alias("line")), f"WITH {AUDIT_SQL}, b AS (SELECT *, ['request', 'result'][(event_id % 2 + 1)::INT] AS direction FROM (SELECT *, CASE policy WHEN 'dpdp' THEN 0 ELSE 1 END AS event_id FROM a)) SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '  ' || rpad(action, 12, ' ') || ' ' || rpad(entity_type, 16, ' ') || ' ' || rpad(tool, 24, ' ') || ' ' || rpad(direction, 8, ' ') || ' (default)' AS line FROM b")
 
 
-def _shared(s: SparkSession) -> str:
-    """A folder that executors share; one of our own only where none is named."""
-    found = s.conf.get("spark.checkpoint.dir", None)
-    return f"{found or 'file://' + tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-
-
 def _written(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(s: SparkSession, d: str) -> DataFrame:
-        at = f"{_shared(s)}{kind}"
+        at = f"{shared_path(s, 'audit')}{kind}"
         write_audit(audit_table(s, d), at)
         return report.entity_by_action(read_audit(s, at, policy="gdpr"))
 
@@ -225,7 +227,7 @@ for _name, _kind in (("audit_jsonl", ""), ("audit_parquet", ".parquet")):
 
 
 def _vaulted(s: SparkSession, d: str) -> tuple[Vault, DataFrame]:
-    vault = Vault(s, f"{_shared(s)}-vault", b"key")
+    vault = Vault(s, shared_path(s, "vault"), b"key")
     policy = policy_of("tokenize", "EMAIL")
     df = load(s, d, "orders").select("o_orderkey", F.concat(F.lit("from c"), (F.col("o_custkey") % 50).cast("string"), F.lit("@ex.org, twice: c"), (F.col("o_custkey") % 50).cast("string"), F.lit("@ex.org")).alias("note"))
     return vault, tokenize_rows(vault, Guard(policy, vault.salt), df, ["o_orderkey"], ["note"]).select("o_orderkey", "note")
@@ -233,10 +235,13 @@ def _vaulted(s: SparkSession, d: str) -> tuple[Vault, DataFrame]:
 
 def _tokenized(s: SparkSession, d: str) -> DataFrame:
     out = _vaulted(s, d)[1].select("o_orderkey", F.regexp_extract_all("note", F.lit(r"(\[EMAIL_[0-9]+\])"), 1).alias("t"))
-    return out.groupBy(F.get("t", F.lit(0)).alias("token")).agg(F.count("*").alias("n"), F.min(F.size(F.array_distinct("t"))).alias("one")).groupBy("n", "one").agg(F.count("*").alias("tokens"))
+    both = out.join(load(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).cast("string").alias("c")), "o_orderkey")
+    return both.groupBy("c", F.array_join("t", " ").alias("tokens")).agg(F.count("*").alias("n"))
 
 
-add("tokenize", _tokenized, "SELECT n, 1 AS one, count(*) AS tokens FROM (SELECT o_custkey % 50 AS c, count(*) AS n FROM orders GROUP BY 1) GROUP BY n")
+add("tokenize", _tokenized, """
+SELECT c::VARCHAR AS c, '[EMAIL_' || k || '] [EMAIL_' || k || ']' AS tokens, n
+FROM (SELECT o_custkey % 50 AS c, count(*) AS n, row_number() OVER (ORDER BY min(o_orderkey)) AS k FROM orders GROUP BY 1)""")
 
 
 def _rehydrated(s: SparkSession, d: str) -> DataFrame:
@@ -263,7 +268,13 @@ def messages(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ordinal"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), digest(F.col("event_type")).alias("digest")).withColumn("ts", F.col("us") / 1e6).drop("us")
 
 
-add("confirm_resend", lambda s, d: confirm_batch(messages(s, d), window=3600 * 6))
+CONFIRM_SQL = """
+WITH RECURSIVE m AS (SELECT user_id::VARCHAR AS session_id, event_id AS ordinal, epoch_us(ts) AS us, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT session_id, event_type, ordinal, k, us AS pending, 'block' AS decision FROM m WHERE k = 1
+  UNION ALL SELECT session_id, event_type, m.ordinal, m.k, CASE WHEN pending IS NOT NULL AND us - pending <= 21600000000 THEN NULL ELSE us END, CASE WHEN pending IS NOT NULL AND us - pending <= 21600000000 THEN 'confirm' ELSE 'block' END
+  FROM r JOIN m USING (session_id, event_type) WHERE m.k = r.k + 1)
+SELECT session_id, ordinal, decision FROM r"""
+add("confirm_resend", lambda s, d: confirm_batch(messages(s, d), window=3600 * 6), CONFIRM_SQL)
 
 
 def _props(s: SparkSession, d: str) -> Column:
@@ -301,7 +312,7 @@ FROM (SELECT *, c_custkey % 3 = 0 AS k FROM customer)""")
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """Customers' notes read as a stream and scanned; the same projection as in batch."""
-    at = _shared(s)
+    at = shared_path(s, "stream")
     load(s, d, "customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@ex.org")).alias("note")).write.parquet(f"{at}/in")
     source = s.readStream.schema("c_custkey long, note string").parquet(f"{at}/in")
     out = Guard(policy_of("partial_mask", "EMAIL"), SALT).scan(source, columns=["note"]).select("c_custkey", "note")
@@ -314,7 +325,7 @@ add("stream_scan", _streamed, "SELECT c_custkey, 'u***@ex.org' AS note FROM cust
 
 
 def _stream_confirm(s: SparkSession, d: str) -> DataFrame:
-    at = _shared(s)
+    at = shared_path(s, "stream")
     messages(s, d).coalesce(1).write.parquet(f"{at}/in")
     source = s.readStream.schema("session_id string, ordinal long, digest string, ts double").parquet(f"{at}/in")
     rows = confirm_stream(source, window=3600 * 6, forget_hours=0)
@@ -323,4 +334,4 @@ def _stream_confirm(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{at}/out")
 
 
-add("stream_confirm", _stream_confirm)
+add("stream_confirm", _stream_confirm, CONFIRM_SQL)

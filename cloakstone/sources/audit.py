@@ -105,7 +105,7 @@ def write_audit(events: DataFrame, destination: str) -> None:
     elif kind == "sqlite":
         write_sqlite(events.withColumn("ts", utc_text(F.col("ts"))).toLocalIterator(prefetchPartitions=True), destination)
     else:
-        events.withColumn("ts", utc_text(F.col("ts"))).write.format("jdbc").mode("append").options(**jdbc_options(destination)).save()
+        events.withColumn("ts", utc_text(F.col("ts"))).write.format("jdbc").mode("append").options(**jdbc_options(destination), stringtype="unspecified").save()
 
 
 def write_sqlite(rows: Iterator, path: str) -> None:
@@ -153,7 +153,8 @@ def tail_sqlite(path: str, after: int | None = None, most: int = 1000) -> tuple[
     return [dict(zip(NAMES, r[1:], strict=True)) for r in rows], rows[-1][0] if rows else after
 
 
-def tail_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the events of new files in a JSON-lines folder; torn and foreign lines are left out."""
-    raw = spark.readStream.schema(FILE_COLUMNS).json(folder)
+def tail_audit(spark: SparkSession, folder: str, from_start: bool = True) -> DataFrame:
+    """A stream of the events of new files in a JSON-lines folder, those that are there first (or only files newer than now); torn and foreign lines are left out."""
+    reader = spark.readStream.schema(FILE_COLUMNS)
+    raw = (reader if from_start else reader.option("modifiedAfter", datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")).json(folder)
     return valid(raw.withColumn("ts", utc_time(F.col("ts"))).withColumnsRenamed({"start": "span_start", "end": "span_end"}).select(*NAMES))
