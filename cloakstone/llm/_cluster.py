@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,8 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows, where the session has the default of 10,000.
+
+    So many texts of some kilobytes take 64 MB and more of each task, outside the JVM's heap and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def columns_of(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     """Only the named columns, cast, so that other columns can't clash with ours."""
-    from pyspark.sql import functions as F
-
+    short_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in needed.items()])
