@@ -92,6 +92,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             j = max(i + 1, int(np.searchsorted(texts.at, texts.at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), Texts(texts.data[texts.at[i] : texts.at[j]], texts.at[i : j + 1] - texts.at[i])
             i = j
+    # a worker lives on after its task: what Arrow keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: Texts, lower: bool = False) -> Words:

@@ -269,20 +269,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 30, rows: i
     # a set's id is the number of one of the rows that have it: unlike a doc_id, it tells sets apart
     facts = stored(sketch(docs, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = facts.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(some.groupBy("one", "two").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc_id")), "classes")
-    leads = some.join(classes.select("one", "two", "id"), ["one", "two"]).filter("row = id").select("id", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    # of each set: one row's number and buckets, and the least document that has it
+    classes = stored(some.groupBy("one", "two").agg(F.min("row").alias("id"), F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("buckets", "row").alias("buckets")), "classes")
+    leads = classes.select("id", "n", F.explode(F.array_distinct("buckets")).alias("bucket"))
     full = leads.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     members = stored(leads.join(full, "bucket").select("bucket", "id", "n"), "members")
-    sets = stored(sets_of(docs, classes.join(members.select("id").distinct(), "id", "left_semi")), "sets")
+    sets = stored(sets_of(docs, classes.select("one", "two", "id", "doc_id").join(members.select("id").distinct(), "id", "left_semi")), "sets")
     found = link_buckets(members, sets, percent, rounds)
-    named = some.join(classes.select("one", "two", "id"), ["one", "two"]).select("doc_id", "id")
-    several = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("doc_id", "a")
-    same = stored(named.join(several, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b").distinct(), "same")
-    if not same.isEmpty():
+    # documents with several sets
+    prints_ = F.struct("one", "two")
+    several = stored(some.groupBy("doc_id").agg(F.min(prints_).alias("a"), F.max(prints_).alias("z")).filter("a <> z").select("doc_id", "a"), "several")
+    if not several.isEmpty():
+        named = some.select("doc_id", "one", "two").join(several, "doc_id").filter(prints_ != F.col("a")).select("a.*", F.col("one").alias("one2"), F.col("two").alias("two2")).distinct()
+        ids = classes.select("one", "two", "id")
+        same = named.join(ids.withColumnRenamed("id", "a"), ["one", "two"]).join(ids.select(F.col("one").alias("one2"), F.col("two").alias("two2"), F.col("id").alias("b")), ["one2", "two2"]).select("a", "b")
         found = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(same)), "components")
-    own = classes.join(found, "id", "left").select("one", "two", "doc_id", F.coalesce("component", "id").alias("component"))
+    own = stored(classes.select("one", "two", "doc_id", "id").join(found, "id", "left").select("one", "two", "doc_id", F.coalesce("component", "id").alias("component")), "own")
     least = own.groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = facts.select("doc_id", "n", "one", "two").join(own.join(least, "component").select("one", "two", "least"), ["one", "two"], "left")
+    named = stored(own.join(least, "component").select("one", "two", "least"), "named")
+    out = facts.select("doc_id", "n", "one", "two").join(named, ["one", "two"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
