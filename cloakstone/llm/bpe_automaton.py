@@ -70,8 +70,10 @@ class Automaton(NamedTuple):
     """When the state of a label lost an arc, by label << 20 | arc."""
     special: dict[str, int]
     """Strings that become one id wherever they stand."""
-    tree: dict
-    """The labels by their bytes: each node has its followers by byte, and its label's id at -1."""
+    tree: dict[int, int]
+    """The labels by their bytes: from a node (0: the root) by a byte to the next, as node << 8 | byte."""
+    ends: dict[int, int]
+    """The label that a node's bytes spell."""
     row: list[int] = []
     """Of each state (by the label that leads to it), where its row of the table starts."""
     column: list[int] = []
@@ -79,6 +81,10 @@ class Automaton(NamedTuple):
     table: bytes = b""
     """A bit for each row and column, highest first in a byte: whether the arc is lost."""
 
+    def compiled(self) -> Automaton:
+        """The automaton without the records of its making: what encoding needs."""
+        return self._replace(left=[], right=[], born=[], lost={})
+
     def passes(self, state: int, label: int) -> bool:
         """Whether the state after a label has an arc ``label``, by the table."""
         c = self.column[label]
@@ -158,7 +164,7 @@ def compile_automaton(vocabulary: dict[bytes, int], merges: list[tuple[bytes, by
         labels[i] = label
     for text, i in (special or {}).items():
         labels[i] = text.encode()
-    a = Automaton(labels, [-1] * size, [-1] * size, [NEVER] * size, {}, special or {}, {})
+    a = Automaton(labels, [-1] * size, [-1] * size, [NEVER] * size, {}, special or {}, {}, {})
     for b in range(256):
         if (i := vocabulary.get(bytes([b]))) is not None:
             a.born[i] = -1
@@ -170,10 +176,10 @@ def compile_automaton(vocabulary: dict[bytes, int], merges: list[tuple[bytes, by
         a.lost[first << 20 | second] = when
     for label, i in vocabulary.items():
         if a.born[i] != NEVER:
-            node = a.tree
+            node = 0
             for b in label:
-                node = node.setdefault(b, {})
-            node[-1] = i
+                node = a.tree.setdefault(node << 8 | b, len(a.tree) + 1)
+            a.ends[node] = i
     row, column, table = transition_table(a)
     return a._replace(row=row, column=column, table=table)
 
@@ -195,7 +201,7 @@ def load_automaton(path: str) -> Automaton:
 class Encoder(dict):
     """Ids (little-endian unsigned 32 bits) of units of text; those met are kept, up to ``room`` of them and of pieces."""
 
-    def __init__(self, automaton: Automaton, room: int = 250_000) -> None:
+    def __init__(self, automaton: Automaton, room: int = 120_000) -> None:
         super().__init__()
         self.automaton, self.room, self.pieces = automaton, room, {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
@@ -232,12 +238,12 @@ class Encoder(dict):
 
     def fitting(self, word: bytes, at: int) -> list[int]:
         """The labels that the word goes on with, shorter first."""
-        node, out = self.automaton.tree, []
+        node, out, tree, ends = 0, [], self.automaton.tree, self.automaton.ends
         for k in range(at, len(word)):
-            node = node.get(word[k])
+            node = tree.get(node << 8 | word[k])
             if node is None:
                 break
-            if (i := node.get(-1)) is not None:
+            if (i := ends.get(node)) is not None:
                 out.append(i)
         return out
 
@@ -274,7 +280,7 @@ def decode_ids(labels: list[bytes], ids: bytes) -> str:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ids (binary: little-endian unsigned 32-bit integers) in place of the column ``text``; a null or empty text has no ids (empty binary). Any length."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_automaton(path))
+    shared = docs.sparkSession.sparkContext.broadcast(load_automaton(path).compiled())
     keep = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,8 @@ from ._cluster import columns_of, stored, table
 from ._words import GOLD, U, batch_of, blocks, mix, shingles_of, words_of
 
 SIZE = 5
+#: Counters of elements, by value, that order them by rarity.
+SLOTS = 1 << 20
 
 
 def distinct_shingles(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,23 +208,39 @@ def components(links: DataFrame) -> DataFrame:
 def rare_elements(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, n, component, apart, place, element for the elements of each set by which a similar enough set must meet it.
 
-    Of a set of n, these are the n - ceil(n * percent / 100) + 1 that fewest sets of ``live`` hold; place: how many of its
-    elements come before, by number of sets, then by value.
+    Of a set of n, these are the first n - ceil(n * percent / 100) + 1 in one order of all elements; place: how many of the
+    set's elements come before. Any order gives the same links; that of ``SLOTS`` counters, rare ones first, by which an
+    element is about as rare as its counter says, gives few meetings. The counters are one bounded table.
     """
+    given = stored(live.join(sets, "id").select("id", "n", "component", "apart", "elements"), "given")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                held = [np.frombuffer(x, np.int64) for x in part.column("elements").to_pylist()]
-                at = np.repeat(np.arange(len(held)), [len(x) for x in held])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "n", "component", "apart")), pa.array(np.concatenate(held))], names=["id", "n", "component", "apart", "element"])
-
-    given = live.join(sets, "id").select("id", "n", "component", "apart", "elements")
-    elements = stored(given.mapInArrow(spread, "id long, n long, component long, apart boolean, element long"), "elements")
-    held = elements.groupBy("element").agg(F.count("*").alias("sets"))
-    most = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    return elements.join(held, "element").groupBy("id", "n", "component", "apart").agg(F.collect_list(F.struct("sets", "element")).alias("all")).select("id", "n", "component", "apart", F.posexplode(F.slice(F.sort_array("all"), F.lit(1), most)).alias("place", "e")).select("id", "n", "component", "apart", "place", "e.element")
+            for x in batch.column("elements").to_pylist():
+                np.add.at(counts, np.frombuffer(x, U) % U(SLOTS), 1)
+        some = np.flatnonzero(counts)
+        yield batch_of(slot=some.astype(np.int64), n=counts[some])
+
+    found = given.select("elements").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = given.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                kept = []
+                for x in part.column("elements").to_pylist():
+                    value = np.frombuffer(x, U)
+                    order = np.lexsort((value, shared.value[value % U(SLOTS)]))
+                    kept.append(value[order[: len(value) + 1 - -(-len(value) * percent // 100)]].view(np.int64))
+                at = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in kept])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in ("id", "n", "component", "apart")), pa.array(place), pa.array(np.concatenate(kept))], names=["id", "n", "component", "apart", "place", "element"])
+
+    return given.mapInArrow(first, "id long, n long, component long, apart boolean, place int, element long")
 
 
 def link_buckets(members: DataFrame, sets: DataFrame, percent: int, rounds: int, direct: int = 64) -> DataFrame:
