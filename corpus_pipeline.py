@@ -3,6 +3,9 @@
 Stages decide by row, whatever its doc_id: a row's key is a hash of all its
 columns, so rows with a null doc_id, or with one doc_id and different texts,
 are documents of their own. Only near_dedup drops what is the same or linked.
+Null texts are empty and fail the quality rules; texts of any length go whole
+through every stage; columns other than those of documents are dropped; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,15 +38,19 @@ def as_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("key")).drop("key")
 
 
-def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keyed rows whose key is among the ``doc_id`` of ``keys``."""
-    return rows.join(keys.select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+def with_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The keyed rows whose key is among the ``doc_id`` of ``keys``.
+
+    The keys are stored first, so that their size is known when the join is planned: a table of up to
+    spark.sql.autoBroadcastJoinThreshold is broadcast and no text is shuffled, a larger one is joined by shuffles.
+    """
+    return rows.join(stored(keys.select(F.col("doc_id").alias("key")), name), "key", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the quality rules."""
     rows = keyed(docs)
-    return with_keys(rows, judge(as_ids(rows)).filter("kept")).select(COLUMNS)
+    return with_keys(rows, judge(as_ids(rows)).filter("kept"), "passed").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +59,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(as_ids(rows), percent=80, bands=36, rows=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = rows.select("key", "doc_id")
     first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first"))
-    return with_keys(rows, first.select(F.col("first.key").alias("doc_id"))).dropDuplicates(["key"]).select(COLUMNS)
+    kept = with_keys(rows, first.select(F.col("first.key").alias("doc_id")), "first")
+    # rows that are the same in every column share a key; only these are brought together
+    same = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "same")
+    if not same.isEmpty():
+        kept = kept.join(same, "key", "left_anti").unionByName(kept.join(same, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that brings sources, languages and topics to their target shares; a row is drawn by its key."""
     rows = keyed(docs)
-    return with_keys(rows, mix(as_ids(rows), budget_share=MIX_SHARE).filter("selected")).select(COLUMNS)
+    return with_keys(rows, mix(as_ids(rows), budget_share=MIX_SHARE).filter("selected"), "drawn").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
