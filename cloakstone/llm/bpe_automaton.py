@@ -201,7 +201,7 @@ def load_automaton(path: str) -> Automaton:
 class Encoder(dict):
     """Ids (little-endian unsigned 32 bits) of units of text; those met are kept, up to ``room`` of them and of pieces."""
 
-    def __init__(self, automaton: Automaton, room: int = 120_000) -> None:
+    def __init__(self, automaton: Automaton, room: int = 250_000) -> None:
         super().__init__()
         self.automaton, self.room, self.pieces = automaton, room, {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") if automaton.special else None
@@ -278,21 +278,29 @@ def decode_ids(labels: list[bytes], ids: bytes) -> str:
     return b"".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ids (binary: little-endian unsigned 32-bit integers) in place of the column ``text``; a null or empty text has no ids (empty binary). Any length."""
+def encode(docs: DataFrame, path: str, text: str = "text", back: bool = False) -> DataFrame:
+    """The rows of ``docs`` with ids (binary: little-endian unsigned 32-bit integers) in place of the column ``text``; a null or empty text has no ids (empty binary). Any length.
+
+    back: with a further column text, what the ids spell, by the same worker; as ``decode`` gives it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(load_automaton(path).compiled())
-    keep = [c for c in docs.columns if c not in (text, "ids")]
+    made = ["ids", "text"] if back else ["ids"]
+    keep = [c for c in docs.columns if c != text and c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
+        labels = encoder.automaton.labels
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids = pa.array([encoder.encode(x or "") for x in part.column(len(keep)).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keep, "ids"])
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                ids = [encoder.encode(x or "") for x in part.column(len(keep)).to_pylist()]
+                columns = [*part.columns[:-1], pa.array(ids, pa.binary())]
+                if back:
+                    columns.append(pa.array([decode_ids(labels, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *made])
 
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*keep).dtypes)
-    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, f"{kinds}, ids binary")
+    kinds = [f"`{c}` {kind}" for c, kind in docs.select(*keep).dtypes]
+    return docs.select(*keep, F.col(text).cast("string")).mapInArrow(run, ", ".join([*kinds, "ids binary", *(["text string"] if back else [])]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -318,9 +326,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    encoded = encode(columns_of(docs, {"doc_id": "long", "text": "string"}), path)
-    facts = encoded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
-    return decode(facts, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    both = encode(columns_of(docs, {"doc_id": "long", "text": "string"}), path, back=True)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,8 @@ def test_clashing_columns(spark):
 
     df = spark.createDataFrame([(1, "ab c", "x", 7), (1, None, None, None)], "doc_id long, text string, ids string, n int")
     out = decode(encode(df, vocabulary_path()).withColumn("text", decode_marker()), vocabulary_path())
+    both = encode(df, vocabulary_path(), back=True)
+    assert both.columns == ["doc_id", "n", "ids", "text"] and sorted(map(str, both.collect())) == sorted(map(str, decode(encode(df, vocabulary_path()), vocabulary_path()).collect()))
     assert out.columns == ["doc_id", "n", "ids", "text"] and [r["text"] for r in out.collect()] == ["ab c", ""]
 
 
