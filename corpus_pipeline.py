@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakstone.llm._cluster import stored, table
-from cloakstone.llm.bpe_automaton import decode, encode, vocabulary_path
+from cloakstone.llm.bpe_automaton import encode, vocabulary_path
 from cloakstone.llm.near_dedup import near_duplicates
 from cloakstone.llm.quality_rules import judge
 from cloakstone.llm.source_mixing import mix
@@ -77,7 +77,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (binary: little-endian unsigned 32-bit integers), whether decoding gives the text back."""
     path = vocabulary_path()
     rows = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha256"), "text")
-    back = decode(encode(rows, path), path)
+    back = encode(rows, path, back=True)
     same = F.sha2(F.encode("text", "UTF-8"), 256) == F.col("sha256")
     return back.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
