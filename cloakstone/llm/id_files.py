@@ -30,6 +30,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +178,12 @@ class LibraryEncoder(dict):
         return b"".join(self.special[part] if k % 2 else b"".join(map(self.__getitem__, UNITS.findall(part))) for k, part in enumerate(parts))
 
 
+@lru_cache(maxsize=1)
+def library_encoder(file: str) -> LibraryEncoder:
+    """One encoder a worker, whose units and pieces the worker's next tasks find again."""
+    return LibraryEncoder(file)
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -205,7 +212,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end: int = END, ro
         return batch_of(run=np.array([run], np.int32), part=np.array([number], np.int32), file=[name], n_ids=np.array([sum(map(len, ids)) // 4], np.int64))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(shared.value)
+        encoder = library_encoder(shared.value)
         now, number, held, doc_ids, ids = None, 0, 0, [], []
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
