@@ -3,8 +3,9 @@
 The perplexity is that of an n-gram model with modified Kneser-Ney smoothing
 over bytes (``ngram_model``), counted over all documents: every n-gram of
 ``order`` bytes is in it, rare ones too. Copies would vouch for each other, so
-a text that makes up more than 1 / ``SHARE`` of the rows (there are at most
-that many) is counted once, and the bands count each distinct text once.
+the model and the bands count each distinct text once, whatever the number of
+its rows or the table's. Where more than ``held_texts`` texts are repeated, all
+texts are brought together by a shuffle, else these alone. Results are the same.
 
 A language's bands are its median of log10 perplexity a byte, less ``below``
 and plus ``above`` robust deviations (1.4826 times the median absolute
@@ -40,7 +41,6 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 BLANKS = " \t\n\x0b\x0c\r"
 FACTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SHARE = 1 << 16
 #: log10 perplexities are counted in steps of this size for the bands.
 STEP = 1 / 4096
 
@@ -85,39 +85,36 @@ def base_facts(texts: Texts, words: Words) -> dict[str, np.ndarray]:
     }
 
 
-def frequent_texts(docs: DataFrame) -> np.ndarray:
-    """The hashes (sorted) of texts that make up more than 1 / SHARE of the rows and occur more than once: fewer than SHARE."""
-    hashes = docs.groupBy("hash").agg(F.count("*").alias("n"))
-    least = max(1, docs.count() // SHARE)
-    return np.sort(hashes.filter(F.col("n") > least).select("hash").toArrow().column("hash").to_numpy())
-
-
-def count_grams(docs: DataFrame, order: int, without: np.ndarray | None = None) -> DataFrame:
-    """(code, n) of the rows (text, hash) of ``docs``, counted in each partition; rows whose hash is in ``without`` are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(without if without is not None else np.zeros(0, np.int64))
+def count_grams(docs: DataFrame, order: int) -> DataFrame:
+    """(code, n) of the rows (text) of ``docs``, counted in each partition."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(1_000_000)
-        left_out = shared.value
-        used = (b.filter(pa.array(~np.isin(b.column("hash").to_numpy(), left_out))) for b in batches) if len(left_out) else batches
-        for _, texts in blocks(used, limit=BLOCK // 8):
+        for _, texts in blocks(batches, limit=BLOCK // 8):
             for k, n in counter.add(byte_grams(texts, order)[0]):
                 yield batch_of(code=k, n=n.astype(np.int64))
         for k, n in counter.rest():
             yield batch_of(code=k, n=n.astype(np.int64))
 
-    return docs.select("text", "hash").mapInArrow(count, "code long, n long")
+    return docs.select("text").mapInArrow(count, "code long, n long")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """(text) of one row of each hash, brought together by a grouping that combines before it shuffles."""
+    return docs.groupBy("hash").agg(F.first("text").alias("text")).select("text")
 
 
-def fit(docs: DataFrame, order: int) -> list[DataFrame]:
-    """The model of ``docs`` (text, hash), as tables by order."""
-    frequent = frequent_texts(docs)
-    grams = count_grams(docs, order, frequent)
-    if len(frequent):
-        # one of each, brought together by a grouping that combines before it shuffles
-        hashes = docs.sparkSession.createDataFrame([(int(h),) for h in frequent], "hash long")
-        once = docs.join(F.broadcast(hashes), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
-        grams = grams.union(count_grams(once, order))
+def fit(docs: DataFrame, order: int, held_texts: int = 1 << 20) -> list[DataFrame]:
+    """The model of the distinct texts of ``docs`` (text, hash), as tables by order."""
+    repeated = stored(docs.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "repeated")
+    n = repeated.count()
+    if not n:
+        grams = count_grams(docs, order)
+    elif n > held_texts:
+        grams = count_grams(one_of_each(docs), order)
+    else:
+        alone, copies = (docs.join(F.broadcast(repeated), "hash", how) for how in ("left_anti", "left_semi"))
+        grams = count_grams(alone, order).union(count_grams(one_of_each(copies), order))
     return kneser_ney(grams.groupBy("code").agg(F.sum("n").alias("n")), order)
 
 
