@@ -27,7 +27,6 @@ documents; an empty table gives no files.
 from __future__ import annotations
 
 import re
-import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,7 +50,35 @@ FOOT = np.dtype([("ids", "<u8"), ("blocks", "<u8"), ("docs", "<u8"), ("index", "
 
 
 def bit_lengths(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, np.floor(np.log2(np.maximum(x, 1).astype(np.float64))).astype(np.int64) + 1, 0)
+    return np.frexp(x.astype(np.float64))[1]
+
+
+def shifted(values: np.ndarray, w: int) -> np.ndarray:
+    """The bytes of blocks of values below 2**w, w up to 16: eight values are two words of 64 bits, of which w bytes are kept."""
+    eight = values.reshape(len(values), -1, 8).astype("<u8")
+    words = np.zeros((*eight.shape[:2], 2), "<u8")
+    for k in range(8):
+        at = np.uint64(k * w)
+        if at < 64:
+            words[:, :, 0] |= eight[:, :, k] << at
+            if at + w > 64:
+                words[:, :, 1] |= eight[:, :, k] >> (np.uint64(64) - at)
+        else:
+            words[:, :, 1] |= eight[:, :, k] << (at - np.uint64(64))
+    return words.view(np.uint8)[:, :, :w].reshape(len(values), -1)
+
+
+def unshifted(raw: np.ndarray, w: int) -> np.ndarray:
+    """The values of blocks of such bytes."""
+    filled = np.zeros((len(raw), raw.shape[1] // w, 16), np.uint8)
+    filled[:, :, :w] = raw.reshape(len(raw), -1, w)
+    low, high = np.moveaxis(filled.view("<u8"), 2, 0)
+    out = np.empty((*low.shape, 8), np.uint32)
+    for k in range(8):
+        at = np.uint64(k * w)
+        x = high >> (at - np.uint64(64)) if at >= 64 else low >> at | high << (np.uint64(64) - at) if at + w > 64 else low >> at
+        out[:, :, k] = x & np.uint64((1 << w) - 1)
+    return out.reshape(len(raw), -1)
 
 
 def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
@@ -65,7 +92,7 @@ def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
     low = rows.min(1)
     rest = rows - low[:, None]
     bits = bit_lengths(rest)
-    width = np.sort(bits, 1)[:, int(np.ceil(share * BLOCK)) - 1]
+    width = np.sort(bits.astype(np.int8), 1)[:, int(np.ceil(share * BLOCK)) - 1].astype(np.int64)
     over = bits > width[:, None]
     count = over.sum(1)
     size = HEAD.itemsize + BLOCK // 8 * width + 5 * count
@@ -79,9 +106,12 @@ def pack(ids: np.ndarray, share: float = 0.9) -> tuple[bytes, np.ndarray]:
             continue
         at = np.flatnonzero(width == w)
         for part in np.array_split(at, -(-len(at) // 2048)):
-            whole = np.ascontiguousarray(rest[part].astype("<u2" if w <= 16 else "<u4"))
-            flags = np.unpackbits(whole.view(np.uint8).reshape(len(part), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
-            out[start[part][:, None] + HEAD.itemsize + np.arange(BLOCK // 8 * w)] = np.packbits(flags.reshape(len(part), -1), axis=1, bitorder="little")
+            if w <= 16:
+                packed = shifted(rest[part] & np.uint32((1 << int(w)) - 1), int(w))
+            else:
+                flags = np.unpackbits(np.ascontiguousarray(rest[part].astype("<u4")).view(np.uint8).reshape(len(part), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
+                packed = np.packbits(flags.reshape(len(part), -1), axis=1, bitorder="little")
+            out[start[part][:, None] + HEAD.itemsize + np.arange(BLOCK // 8 * w)] = packed
     block, position = np.nonzero(over)
     rank = np.arange(len(block)) - (np.cumsum(count) - count)[block]
     lists = start + HEAD.itemsize + BLOCK // 8 * width
@@ -105,6 +135,9 @@ def unpack(data: np.ndarray, start: np.ndarray, n_ids: int) -> np.ndarray:
         at = np.flatnonzero(width == w)
         for part in np.array_split(at, -(-len(at) // 2048)):
             raw = data[start[part][:, None] + HEAD.itemsize + np.arange(BLOCK // 8 * w)]
+            if w <= 16:
+                rest[part] = unshifted(raw, int(w))
+                continue
             flags = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(part), BLOCK, w)
             bytes_ = np.packbits(flags, axis=2, bitorder="little").astype(np.uint32)
             rest[part] = sum(bytes_[:, :, k] << np.uint32(8 * k) for k in range(bytes_.shape[2]))
@@ -139,36 +172,53 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder(dict):
-    """Ids of texts by the tokenizers library. Texts are cut where its pre-splitting always cuts, so that its model meets each distinct piece once; up to ``room`` units and pieces are kept."""
+    """Ids of texts by the tokenizers library. Texts are cut where its pre-splitting always cuts, so that its model meets a piece once as long as it is kept.
+
+    Units are kept in two generations of up to ``room`` and one text's: when the younger is full it becomes the elder,
+    and a unit found there moves back, so that frequent ones stay and most of those met once go.
+    """
 
     def __init__(self, file: str, room: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         library = Tokenizer.from_str(file)
-        self.tokenize, self.room, self.pieces = library.model.tokenize, room, {}
+        self.tokenize, self.room, self.elder, self.pieces = library.model.tokenize, room, {}, {}
         self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.blank = self.letters[0x20]
+        self.four = [i.to_bytes(4, "little") for i in range(max(library.get_vocab().values()) + 1)]
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in library.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def ids_of(self, letters: str) -> bytes:
+        four = self.four
+        return b"".join([four[t.id] for t in self.tokenize(letters)])
+
+    def spelled(self, piece: str) -> str:
+        return piece.encode("utf-8").decode("latin-1").translate(self.letters)
+
     def __missing__(self, unit: str) -> bytes:
-        body, pieces, out = unit.removeprefix(" "), self.pieces, b""
-        if body.isalpha():
-            parts = [unit]
-        elif body[-1:] in ".,;:!?" and body[:-1].isalpha():
-            parts = [unit[:-1], unit[-1]]
-        else:
-            parts = PIECES.findall(unit)
-        for part in parts:
-            if (ids := pieces.get(part)) is None:
-                found = [t.id for t in self.tokenize(part.encode("utf-8").decode("latin-1").translate(self.letters))]
-                ids = pieces[part] = struct.pack(f"<{len(found)}I", *found)
-            out += ids
+        if (out := self.elder.get(unit)) is None:
+            body = unit.removeprefix(" ")
+            if body.isalpha():
+                # letters of ASCII stand for themselves
+                out = self.ids_of((self.blank + body if unit[0] == " " else unit) if unit.isascii() else self.spelled(unit))
+            elif body[-1:] in ".,;:!?" and body[:-1].isalpha():
+                out = self[unit[:-1]] + self[unit[-1]]
+            else:
+                parts, pieces, out = PIECES.findall(unit), self.pieces, b""
+                for part in parts:
+                    if (ids := pieces.get(part)) is None:
+                        ids = self.ids_of(self.spelled(part))
+                        if len(parts) > 1:
+                            pieces[part] = ids
+                    out += ids
         self[unit] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if len(self) > self.room:
+            self.elder = dict(self)
             self.clear()
         if len(self.pieces) > self.room:
             self.pieces.clear()
