@@ -133,10 +133,13 @@ CASE WHEN c_custkey % 4 = 0 THEN 'The result contained a credential and was with
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
     start = (F.col("l_linenumber") * 37 + F.col("l_partkey") % 40).cast("int")
+    end = start + 5 + F.rint(F.col("l_quantity") * 2).cast("int")
     action = F.get(F.array(*map(F.lit, report.ACTIONS)), (F.col("l_suppkey") % 6).cast("int"))
-    one = F.struct(start.alias("start"), (start + 5 + (F.col("l_quantity") * 2).cast("int")).alias("end"), F.lit("E").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit(1).alias("tier"), F.lit("d").alias("detector"), action.alias("action"), F.lit(None).cast("string").alias("rule_id"))
-    rows = load(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("f"))
-    return rows.select("l_orderkey", F.explode(clusters(F.col("f"))).alias("c")).select("l_orderkey", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.action").alias("action"))
+    # of spans that start together, one without an end comes last, as in SQL
+    span = F.struct(start.alias("start"), end.isNull().alias("open"), end.alias("end"), action.alias("action"))
+    rows = load(s, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    f = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("E").alias("entity_type"), F.lit(0.5).alias("confidence"), F.lit(1).alias("tier"), F.lit("d").alias("detector"), x["action"].alias("action"), F.lit(None).cast("string").alias("rule_id")))
+    return rows.select("l_orderkey", F.explode(clusters(f)).alias("c")).select("l_orderkey", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.col("c.action").alias("action"))
 
 
 add("cluster_merge", _clusters, """

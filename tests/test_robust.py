@@ -15,6 +15,7 @@ from cloakstone.operators.report import tail_line
 from cloakstone.operators.vault import Vault, key_from, tokenize_rows
 from cloakstone.plans.guard import Guard, audit_events, kept_salt
 from cloakstone.plans.policy import load_preset, parse_policy
+from cloakstone.plans.policy_queries import QUERIES, SQL
 from cloakstone.sources.audit import filter_audit, jdbc_options, read_audit, tail_sqlite, utc_text, utc_time, write_audit
 
 OPEN = {"name": "p", "defaults": {"unknown_entity_action": "allow"}}
@@ -145,3 +146,25 @@ def test_addresses_and_tails(spark, tmp_path, capsys):
     from cloakstone.sources.audit import read_sqlite
 
     assert read_sqlite(spark, at, at_once=2).count() == 3
+
+
+def lines(spark, at, rows):
+    kind = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+    return sorted(map(tuple, QUERIES["cluster_merge"](spark, str(at)).collect()), key=str)
+
+
+def test_clusters_of_odd_quantities_are_those_of_the_sql(spark, tmp_path):
+    rows = [(1, 1, 1, 1, 1.3), (2, 1, 1, 1, 1.25), (3, 1, 1, 1, 0.75), (3, 8, 2, 1, 0.2), (4, 1, 1, 1, None), (5, 1, 1, 1, None), (5, 1, 2, 1, 5.0), (6, 1, 1, 1, 20.0), (6, 1, 2, 2, None), (6, 1, 3, 2, 30.0)]
+    want = [(1, 38, 46, "partial_mask"), (2, 38, 45, "partial_mask"), (3, 38, 45, "partial_mask"), (3, 45, 50, "mask"), (4, 38, None, "partial_mask"), (5, 38, 53, "mask"), (6, 38, 140, "tokenize")]
+    assert lines(spark, tmp_path, rows) == want
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert sorted(con.execute(SQL["cluster_merge"]).fetchall(), key=str) == want
+
+
+def test_tied_spans_stay_in_one_cluster(spark, tmp_path):
+    pair = [(1, 1, 1, 1, 5.0), (1, 1, 3, 1, 5.0)]
+    for i, rows in enumerate((pair, pair[::-1])):
+        assert lines(spark, tmp_path / str(i), [(1, 41, 2, 3, 1.0), *rows]) == [(1, 112, 119, "mask"), (1, 38, 53, "tokenize")]
